@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.functions.codecs import derived_id
-from fieldledger.operators.history import VERSION_IDS, accept_mutations, version_history
-from fieldledger.operators.joins import BROADCAST_BYTES, fits_broadcast
+from fieldledger.operators.history import VERSION_IDS, decide, version_history
+from fieldledger.operators.joins import BROADCAST_BYTES, join_small
 from fieldledger.operators.ordered import RANGE_WIDTH, carry
 from fieldledger.operators.validate import validate_forms
 
+# Template changes up to this number are searched as broadcast intervals.
+SPAN_LIMIT = 1024
 FORM_KEYS = ("template", "generation", "key")
 
 
@@ -40,14 +42,15 @@ def bind_generation(
     accepted_templates: DataFrame,
     *,
     open_before: DataFrame | None = None,
-    limit: int = BROADCAST_BYTES,
+    span_limit: int = SPAN_LIMIT,
     width: int = RANGE_WIDTH,
 ) -> DataFrame:
     """Adds the `generation` open at the `seq` of each form mutation, else null.
 
-    Few template changes are broadcast as intervals and the mutations stay where
-    they are. Beyond the limit the changes are merged into the mutations in order
-    and the last one is carried forward, which also holds for one hot template.
+    Up to `span_limit` template changes are broadcast as intervals and the
+    mutations stay where they are. Beyond it the changes are merged into the
+    mutations in order and the last one is carried forward, which also holds for
+    one hot template.
     `open_before` names the generations open before the first row.
     """
     changes = accepted_templates.select("template", "seq", "action")
@@ -56,7 +59,7 @@ def bind_generation(
             "template", F.col("generation").alias("seq"), F.lit("Add").alias("action")
         )
         changes = first.unionByName(changes)
-    if fits_broadcast(changes, limit):
+    if changes.limit(span_limit + 1).count() <= span_limit:
         spans = template_generations(changes, width=width).drop("version_id")
         spans = F.broadcast(spans.withColumnRenamed("template", "_template"))
         inside = (
@@ -67,9 +70,8 @@ def bind_generation(
         return mutations.join(spans, inside, "left").drop("_template", "seq_from", "seq_to")
 
     closed = F.lit(-1).cast("bigint")
-    marks = changes.select(
-        "template", "seq", F.when(F.col("action") == "Delete", closed).otherwise(F.col("seq")).alias("_mark")
-    )
+    mark = F.when(F.col("action") == "Delete", closed).otherwise(F.col("seq"))
+    marks = changes.select("template", "seq", mark.alias("_mark"))
     merged = mutations.withColumn("_mark", F.lit(None).cast("bigint")).unionByName(
         marks, allowMissingColumns=True
     )
@@ -85,6 +87,7 @@ def accept_form_mutations(
     template_fields: DataFrame | None = None,
     open_before: DataFrame | None = None,
     live_keys: DataFrame | None = None,
+    span_limit: int = SPAN_LIMIT,
     limit: int = BROADCAST_BYTES,
     width: int = RANGE_WIDTH,
 ) -> DataFrame:
@@ -92,36 +95,32 @@ def accept_form_mutations(
 
     Mutations without an open generation are refused, and, where `template_fields`
     (`template, generation, fields`) is given, so is content that breaks the
-    template. Refused rows never count for the state of their form.
+    template. Rows that come with a `reject_reason` keep it. Refused rows never count for the state of their form.
     """
     bound = bind_generation(
-        mutations, accepted_templates, open_before=open_before, limit=limit, width=width
+        mutations,
+        accepted_templates,
+        open_before=open_before,
+        span_limit=span_limit,
+        width=width,
     )
     reason = F.when(F.col("generation").isNull(), F.lit("no_template"))
+    if "reject_reason" in bound.columns:
+        reason = F.coalesce("reject_reason", reason)
     if template_fields is not None:
         bound = validate_forms(
             bound, template_fields, ("template", "generation"), spread="seq", limit=limit
         )
         broken = F.col("action").isin("Add", "Edit") & ~F.col("valid")
         reason = F.coalesce(reason, F.when(broken, F.lit("breaks_template")))
-    # A refused row takes part with an action of no effect and keeps its place.
-    checked = bound.withColumns(
-        {
-            "reject_reason": reason,
-            "_asked": F.col("action"),
-            "generation": F.coalesce("generation", F.lit(-1).cast("bigint")),
-        }
-    ).withColumn("action", F.when(F.col("reject_reason").isNull(), F.col("action")))
-    decided = accept_mutations(checked, FORM_KEYS, live_keys=live_keys, width=width)
-    late = F.when(
-        ~F.col("accepted"), F.when(F.col("_asked") == "Add", F.lit("exists")).otherwise(F.lit("absent"))
-    )
-    return (
-        decided.withColumn("action", F.col("_asked"))
-        .withColumn("reject_reason", F.coalesce("reject_reason", late))
-        .withColumn("generation", F.when(F.col("generation") >= 0, F.col("generation")))
-        .drop("_asked", "valid", "template_known")
+    none = F.lit(-1).cast("bigint")
+    checked = bound.withColumn("reject_reason", reason).withColumn(
+        "generation", F.coalesce("generation", none)
     )
+    decided = decide(checked, FORM_KEYS, live_keys=live_keys, width=width)
+    return decided.withColumn(
+        "generation", F.when(F.col("generation") >= 0, F.col("generation"))
+    ).drop("valid", "template_known")
 
 
 def archived_template_version(generations: DataFrame) -> DataFrame:
@@ -137,8 +136,6 @@ def archived_template_version(generations: DataFrame) -> DataFrame:
 
 def live_forms(current: DataFrame, generations: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Current forms of the open generations; those of closed ones are archived."""
-    from fieldledger.operators.joins import join_small
-
     return join_small(
         current,
         open_generations(generations),

@@ -69,8 +69,7 @@ def next_entries(
         .where(F.col("next_seq").isNotNull())
         .withColumnRenamed("next_seq", "seq")
     )
-    # A cursor on the first entry's predecessor cannot exist, so each `seq` is
-    # asked for at most twice: by one cursor and by consumers without one.
+    # Each entry follows one cursor only, and the first entry none, so `seq` is unique.
     entries = answers.join(log, "seq").withColumn("_asked", F.coalesce("cursor", F.lit("")))
     consumers = cursors.select("consumer", "cursor").withColumn(
         "_asked", F.coalesce("cursor", F.lit(""))

@@ -46,6 +46,32 @@ def accept_mutations(
     )
 
 
+def decide(
+    checked: DataFrame,
+    keys: Sequence[str],
+    *,
+    live_keys: DataFrame | None = None,
+    width: int = RANGE_WIDTH,
+) -> DataFrame:
+    """`accept_mutations` for rows some of which already have a `reject_reason`.
+
+    Those rows are kept and never count for the state of their record. The other
+    refused rows get the reason `exists` or `absent`.
+    """
+    masked = checked.withColumn("_asked", F.col("action")).withColumn(
+        "action", F.when(F.col("reject_reason").isNull(), F.col("action"))
+    )
+    decided = accept_mutations(masked, keys, live_keys=live_keys, width=width)
+    refused = F.when(F.col("_asked") == "Add", F.lit("exists")).otherwise(F.lit("absent"))
+    return (
+        decided.withColumn("action", F.col("_asked"))
+        .withColumn(
+            "reject_reason", F.coalesce("reject_reason", F.when(~F.col("accepted"), refused))
+        )
+        .drop("_asked")
+    )
+
+
 def current_state(accepted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The live version of each key; accepted mutations come in, deleted keys go.
 

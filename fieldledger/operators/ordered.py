@@ -37,8 +37,8 @@ def carry(
     """Adds `name`: the nearest earlier non-null `value` of the same key.
 
     With `backward` it is the nearest later one. `initial` (the keys and a column
-    `name`, one row per key) gives the value in front of the first row. The keys
-    must not be null and `seq` must be unique within a key.
+    `name`, one row per key) gives the value in front of the first row. `seq` must
+    be unique within a key. Rows with a null key are kept but see only their range.
     """
     if width <= 0:
         raise ValueError("width must be positive")
@@ -72,7 +72,7 @@ def carry(
     )
     inside = F.last("_value", ignorenulls=True).over(within_range)
     return (
-        ranged.join(entering.hint("shuffle_hash"), [*keys, "_range"])
+        ranged.join(entering.hint("shuffle_hash"), [*keys, "_range"], "left")
         .withColumn(name, F.coalesce(inside, F.col("_entering")))
         .drop("_range", "_value", "_entering")
     )
