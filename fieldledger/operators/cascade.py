@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.functions.codecs import derived_id
-from fieldledger.operators.history import VERSION_IDS, decide, version_history
+from fieldledger.operators.history import decide, version_history
 from fieldledger.operators.joins import BROADCAST_BYTES, join_small
 from fieldledger.operators.ordered import RANGE_WIDTH, carry
 from fieldledger.operators.validate import validate_forms
@@ -123,14 +122,15 @@ def accept_form_mutations(
     ).drop("valid", "template_known")
 
 
-def archived_template_version(generations: DataFrame) -> DataFrame:
-    """`(template, generation, template_version)`; null while the generation is open."""
-    return generations.select(
-        "template",
-        "generation",
-        F.when(F.col("seq_to").isNotNull(), derived_id(VERSION_IDS, F.col("seq_to"))).alias(
-            "template_version"
-        ),
+def with_template_version(
+    forms: DataFrame, generations: DataFrame, *, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Adds `template_version`, null for forms of an open generation."""
+    archived = generations.select(
+        "template", "generation", F.col("version_id").alias("template_version")
+    )
+    return join_small(
+        forms, archived, ["template", "generation"], "left", spread=F.col("key"), limit=limit
     )
 
 

@@ -139,9 +139,9 @@ def form_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("doc"))
     )
     plain = forms(spark, sf_dir).select(
-        F.col("id").cast("bigint").alias("event_id"), doc.alias("doc")
+        F.col("id").cast("bigint").alias("event_id"), "template", doc.alias("doc")
     )
-    return plain.select("event_id", damaged.alias("doc"))
+    return plain.select("event_id", "template", damaged.alias("doc"))
 
 
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +209,51 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def form_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form document as an Add, after the Adds of the templates."""
+    none = F.lit(None)
+    names = templates(spark, sf_dir)
+    definitions = names.select(
+        F.ascii("name").cast("bigint").alias("seq"),
+        F.lit("Template").alias("kind"),
+        none.cast("string").alias("template"),
+        F.col("name").alias("key"),
+        F.lit("Add").alias("action"),
+        template_json(F.col("name"), F.col("year"), F.col("fields")).alias("doc"),
+    )
+    first = F.lit(1000).cast("bigint")
+    adds = form_documents(spark, sf_dir).select(
+        (F.col("event_id") + first).alias("seq"),
+        F.lit("Form").alias("kind"),
+        "template",
+        F.lit("from the client").alias("key"),
+        F.lit("Add").alias("action"),
+        "doc",
+    )
+    return definitions.unionByName(adds).withColumns(
+        {"payload": none.cast("binary"), "committed_at": none.cast("timestamp")}
+    )
+
+
+def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a log entry of some kind."""
+    name = F.col("event_type")
+    kind = (
+        F.when(name == "view", F.lit("Form"))
+        .when(name == "click", F.lit("Bytes"))
+        .when(name == "signup", F.lit("Schedule"))
+        .otherwise(F.lit("Template"))
+    )
+    return events(spark, sf_dir).select(
+        F.col("event_id").alias("seq"),
+        derived_id(LOG_IDS, F.col("event_id")).alias("id"),
+        kind.alias("kind"),
+        F.when(name == "view", _mixed_template()).alias("template"),
+        _event_action().alias("action"),
+        F.col("props").alias("new_path"),
+    )
+
+
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A consumer per event: some start afresh, some name entries never logged."""
     event_id = F.col("event_id")
@@ -286,12 +331,12 @@ def ledger_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = events(spark, sf_dir)
     writes = F.col("action").isin("Add", "Edit")
     change = _is_template_change()
-    extra = F.when(_k() % 2 == 0, F.lit("note")).otherwise(F.lit("x"))
+    extra = F.when(_k() % 2 == 0, F.lit("note")).otherwise(F.lit("detail"))
     definition = F.array(
         *_template_fields()[:4],
         F.struct(
             extra.alias("name"),
-            F.when(extra == "note", F.lit("ShortText")).otherwise(F.lit("Number")).alias("kind"),
+            F.when(extra == "note", F.lit("ShortText")).otherwise(F.lit("LongText")).alias("kind"),
             F.lit(None).cast("bigint").alias("min"),
             F.lit(None).cast("bigint").alias("max"),
         ),
@@ -299,13 +344,13 @@ def ledger_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id").cast("string")
     scouter = F.concat(F.lit("scouter_"), (F.col("user_id") % 20).cast("string"))
     day = F.date_format(F.col("ts").cast("date"), "yyyyMMdd")
-    # As in `form_documents`, some forms carry a fault: here a team as text.
-    team = F.when(F.col("event_id") % 13 == 0, F.lit("broken"))
+    # As in `form_documents`, some forms carry a fault: here a missing team.
+    team = F.when(F.col("event_id") % 13 != 0, F.col("user_id"))
     form_doc = F.to_json(
         F.struct(
             _form_fields().alias("fields"),
             scouter.alias("scouter"),
-            F.when(team.isNull(), F.col("user_id")).alias("team"),
+            team.alias("team"),
             (F.col("event_id") % 80 + 1).alias("match_number"),
             day.alias("event_key"),
         )
