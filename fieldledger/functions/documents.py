@@ -2,15 +2,15 @@
 
 `from_json` coerces or drops what a typed record must refuse, so documents are
 parsed to VARIANT and every member is checked by its stored type first. Each
-decoder returns a pair of columns: the record struct and the reject reason,
-exactly one of which is set.
+decoder returns a pair of columns: the record struct and the reject reason. The
+record is of use only where there is no reason.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.schemas import (
@@ -29,22 +29,39 @@ UUID_PATTERN = (
     "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 )
 
+_VALUE_DDL = FIELD_VALUE.simpleString()
+_FORM_DDL = (
+    "struct<id:string,scouter:string,team:bigint,match_number:bigint,event_key:string,"
+    f"fields:map<string,{_VALUE_DDL}>>"
+)
+_SCHEDULE_DDL = f"struct<event:string,shifts:array<{SHIFT.simpleString()}>>"
 _VALUE_SHAPES = tuple(f"OBJECT<{tag}: {ddl}>" for tag, ddl in VALUE_TAGS.items())
 
 
-def parse_document(doc: Column) -> Column:
-    """The one JSON value of a text as VARIANT; null for anything else.
+def _bracketed(doc: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]")))
 
-    The parser stops after the first value, so the text is parsed inside
-    brackets, where left-over text is an error or a second element. Only a text
-    with `}]` could close the bracket itself; it is parsed inside braces too.
-    """
-    listed = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]")))
-    alone = F.variant_get(listed, "$[1]", "variant").isNull()
+
+def _only_value(doc: Column, bracketed: Column) -> Column:
+    alone = F.variant_get(bracketed, "$[1]", "variant").isNull()
     braced = F.try_parse_json(F.concat(F.lit('{"d":'), doc, F.lit("}"))).isNotNull()
     closed = F.when(doc.rlike(r"\}\s*\]"), braced).otherwise(F.lit(True))
     return F.when(
-        F.is_valid_utf8(doc) & alone & closed, F.variant_get(listed, "$[0]", "variant")
+        F.is_valid_utf8(doc) & alone & closed, F.variant_get(bracketed, "$[0]", "variant")
+    )
+
+
+def with_parsed(rows: DataFrame, doc: str, name: str = "_parsed") -> DataFrame:
+    """Adds the one JSON value of a text as VARIANT; null for anything else.
+
+    The parser stops after the first value, so the text is parsed inside
+    brackets, where left-over text is an error or a second element. Only a text
+    with `}]` could close the bracket itself; it is parsed inside braces too. The
+    two steps keep the text from being parsed once per use of the result.
+    """
+    text = F.col(doc)
+    return rows.withColumn(name, _bracketed(text)).withColumn(
+        name, _only_value(text, F.col(name))
     )
 
 
@@ -61,7 +78,7 @@ def _between(value: Column, path: str, high: int) -> Column:
     return _is(value, path, "BIGINT") & F.coalesce(inside, F.lit(False))
 
 
-def _members(value: Column, path: str = "$") -> Column:
+def _members(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "map<string,variant>")
 
 
@@ -73,16 +90,18 @@ def _all(items: Column, check) -> Column:
     return F.coalesce(F.forall(items, check), F.lit(False))
 
 
-def _first_failure(checks: dict[str, Column]) -> Column:
-    return F.coalesce(*[F.when(~ok, F.lit(reason)) for reason, ok in checks.items()])
-
+def _first_failure(checks: dict[str, Column], value: Column) -> Column:
+    """The reason of the first check that fails.
 
-def _decoded(record: Column, reason: Column) -> tuple[Column, Column]:
-    return F.when(reason.isNull(), record), reason
-
-
-def _is_object(value: Column) -> Column:
-    return F.coalesce(_members(value).isNotNull(), F.lit(False))
+    No check holds for a value that is not an object, so that is only asked once
+    the first one has failed.
+    """
+    (first, holds), *others = checks.items()
+    is_object = F.coalesce(_type(value).startswith("OBJECT<"), F.lit(False))
+    reason = F.when(is_object, F.lit(first)).otherwise(F.lit("not_an_object"))
+    return F.coalesce(
+        F.when(~holds, reason), *[F.when(~ok, F.lit(name)) for name, ok in others]
+    )
 
 
 def _unit_name(value: Column, path: str, names: tuple[str, ...]) -> Column:
@@ -98,7 +117,6 @@ def decode_form(value: Column) -> tuple[Column, Column]:
     """Form record of a parsed document; a missing or null `id` is allowed."""
     members = _members(value, "$.fields")
     checks = {
-        "not_an_object": _is_object(value),
         "bad_fields": _all(
             F.map_values(members),
             lambda item: F.coalesce(F.schema_of_variant(item).isin(*_VALUE_SHAPES), F.lit(False)),
@@ -110,20 +128,7 @@ def decode_form(value: Column) -> tuple[Column, Column]:
         "bad_id": F.coalesce(_type(value, "$.id").isin("STRING", "VOID"), F.lit(True)),
     }
 
-    def tagged(_, item: Column) -> Column:
-        return F.struct(
-            *[F.try_variant_get(item, f"$.{tag}", ddl).alias(tag) for tag, ddl in VALUE_TAGS.items()]
-        ).cast(FIELD_VALUE)
-
-    record = F.struct(
-        F.try_variant_get(value, "$.id", "string").alias("id"),
-        F.try_variant_get(value, "$.scouter", "string").alias("scouter"),
-        F.try_variant_get(value, "$.team", "bigint").alias("team"),
-        F.try_variant_get(value, "$.match_number", "bigint").alias("match_number"),
-        F.try_variant_get(value, "$.event_key", "string").alias("event_key"),
-        F.transform_values(members, tagged).alias("fields"),
-    )
-    return _decoded(record, _first_failure(checks))
+    return F.try_variant_get(value, "$", _FORM_DDL), _first_failure(checks, value)
 
 
 def _field_kind(item: Column) -> Column:
@@ -141,7 +146,6 @@ def _field_kind(item: Column) -> Column:
 def decode_template(value: Column) -> tuple[Column, Column]:
     items = _items(value, "$.fields")
     checks = {
-        "not_an_object": _is_object(value),
         "bad_fields": _all(
             items, lambda item: _is(item, "$.name", "STRING") & _field_kind(item).isNotNull()
         ),
@@ -162,7 +166,7 @@ def decode_template(value: Column) -> tuple[Column, Column]:
         F.try_variant_get(value, "$.year", "bigint").alias("year"),
         F.transform(items, field).alias("fields"),
     )
-    return _decoded(record, _first_failure(checks))
+    return record, _first_failure(checks, value)
 
 
 def decode_schedule(value: Column) -> tuple[Column, Column]:
@@ -174,7 +178,6 @@ def decode_schedule(value: Column) -> tuple[Column, Column]:
         lambda item: _between(item, "$.match_end", MATCH_MAX),
     )
     checks = {
-        "not_an_object": _is_object(value),
         "bad_event": _is(value, "$.event", "STRING"),
         "bad_shifts": _all(
             items,
@@ -182,19 +185,7 @@ def decode_schedule(value: Column) -> tuple[Column, Column]:
         ),
     }
 
-    def shift(item: Column) -> Column:
-        return F.struct(
-            F.try_variant_get(item, "$.scouter", "string").alias("scouter"),
-            F.try_variant_get(item, "$.station", "smallint").alias("station"),
-            F.try_variant_get(item, "$.match_start", "bigint").alias("match_start"),
-            F.try_variant_get(item, "$.match_end", "bigint").alias("match_end"),
-        ).cast(SHIFT)
-
-    record = F.struct(
-        F.try_variant_get(value, "$.event", "string").alias("event"),
-        F.transform(items, shift).alias("shifts"),
-    )
-    return _decoded(record, _first_failure(checks))
+    return F.try_variant_get(value, "$", _SCHEDULE_DDL), _first_failure(checks, value)
 
 
 def decode_log_entry(value: Column) -> tuple[Column, Column]:
@@ -202,7 +193,6 @@ def decode_log_entry(value: Column) -> tuple[Column, Column]:
     kind = F.when(form, F.lit("Form")).otherwise(_unit_name(value, "$.data_type", UNIT_LOG_KINDS))
     id_text = F.try_variant_get(value, "$.id", "string")
     checks = {
-        "not_an_object": _is_object(value),
         "bad_id": _is(value, "$.id", "STRING") & F.coalesce(id_text.rlike(UUID_PATTERN), F.lit(False)),
         "bad_data_type": kind.isNotNull(),
         "bad_action": _unit_name(value, "$.action", ACTIONS).isNotNull(),
@@ -215,7 +205,7 @@ def decode_log_entry(value: Column) -> tuple[Column, Column]:
         _unit_name(value, "$.action", ACTIONS).alias("action"),
         F.try_variant_get(value, "$.new_path", "string").alias("new_path"),
     )
-    return _decoded(record, _first_failure(checks))
+    return record, _first_failure(checks, value)
 
 
 DECODERS = {
@@ -226,13 +216,15 @@ DECODERS = {
 }
 
 
-def with_decoded(rows, kind: str, doc: str, record: str = "record", reason: str = "reject_reason"):
+def with_decoded(
+    rows: DataFrame, kind: str, doc: str, record: str = "record", reason: str = "reject_reason"
+) -> DataFrame:
     """Adds the decoded record and the reject reason of the JSON text in `doc`."""
-    parsed = rows.withColumn("_parsed", parse_document(F.col(doc)))
     value, failure = DECODERS[kind](F.col("_parsed"))
     unreadable = F.col("_parsed").isNull()
     return (
-        parsed.withColumn(reason, F.when(unreadable, F.lit("not_json")).otherwise(failure))
+        with_parsed(rows, doc)
+        .withColumn(reason, F.when(unreadable, F.lit("not_json")).otherwise(failure))
         .withColumn(record, F.when(F.col(reason).isNull(), value))
         .drop("_parsed")
     )

@@ -9,13 +9,14 @@ from fieldledger.functions.documents import (
     decode_form,
     decode_schedule,
     decode_template,
-    parse_document,
+    with_parsed,
 )
 from fieldledger.operators.cascade import FORM_KEYS, SPAN_LIMIT, accept_form_mutations
 from fieldledger.operators.history import assign_record_ids, decide
 from fieldledger.operators.joins import BROADCAST_BYTES
 from fieldledger.operators.ordered import RANGE_WIDTH
 from fieldledger.schemas import ACTIONS
+from fieldledger.sources.staging import Stage, unstaged
 
 # Columns of an outcome; the record columns of the other kinds are null.
 OUTCOME = (
@@ -45,7 +46,7 @@ def _decoded(mutations: DataFrame, kind: str, decode, record: str) -> DataFrame:
     """Rows of one kind with the record of their document and a `reject_reason`."""
     rows = mutations.where(F.col("kind") == F.lit(kind))
     writes = F.col("action").isin("Add", "Edit")
-    rows = rows.withColumn("_parsed", F.when(writes, parse_document(F.col("doc"))))
+    rows = with_parsed(rows.withColumn("doc", F.when(writes, F.col("doc"))), "doc")
     value, failure = decode(F.col("_parsed"))
     unreadable = F.when(F.col("_parsed").isNull(), F.lit("not_json")).otherwise(failure)
     return (
@@ -77,23 +78,29 @@ def decide_templates(
 
 
 def decide_schedules(
-    mutations: DataFrame, *, live_keys: DataFrame | None = None, width: int = RANGE_WIDTH
+    mutations: DataFrame,
+    *,
+    live_keys: DataFrame | None = None,
+    stage: Stage = unstaged,
+    width: int = RANGE_WIDTH,
 ) -> DataFrame:
     """Outcomes of the schedule mutations; the key is the event in the document."""
     rows = _decoded(mutations, "Schedule", decode_schedule, "schedule")
-    rows = _keyed(rows, F.coalesce("schedule.event", "key"))
+    rows = stage(_keyed(rows, F.coalesce("schedule.event", "key")), "schedules")
     return decide(rows, ["key"], live_keys=live_keys, width=width)
 
 
 def decide_blobs(
     mutations: DataFrame, *, live_keys: DataFrame | None = None, width: int = RANGE_WIDTH
 ) -> DataFrame:
+    """Outcomes of the blob mutations; payloads play no part and are read once."""
     rows = mutations.where(F.col("kind") == "Bytes").drop("doc")
-    bare = F.when(
-        F.col("action").isin("Add", "Edit") & F.col("payload").isNull(), F.lit("no_payload")
+    rows = _keyed(rows.withColumn("reject_reason", _unusable()), F.col("key"))
+    writes = F.col("action").isin("Add", "Edit")
+    empty = F.unhex(F.lit(""))
+    return decide(rows, ["key"], live_keys=live_keys, width=width).withColumn(
+        "payload", F.when(writes, F.coalesce("payload", empty))
     )
-    rows = _keyed(rows.withColumn("reject_reason", F.coalesce(_unusable(), bare)), F.col("key"))
-    return decide(rows, ["key"], live_keys=live_keys, width=width)
 
 
 def decide_forms(
@@ -103,6 +110,7 @@ def decide_forms(
     new_ids: bool = True,
     open_before: DataFrame | None = None,
     live_keys: DataFrame | None = None,
+    stage: Stage = unstaged,
     span_limit: int = SPAN_LIMIT,
     limit: int = BROADCAST_BYTES,
     width: int = RANGE_WIDTH,
@@ -115,7 +123,7 @@ def decide_forms(
     if new_ids:
         rows = assign_record_ids(rows)
     rows = _keyed(rows, F.col("key"))
-    rows = rows.withColumn("fields", F.col("form.fields")).withColumn(
+    rows = rows.withColumn(
         "form", F.when(F.col("form").isNotNull(), F.col("form").withField("id", F.col("key")))
     )
     changes = templates.where("accepted").select(
@@ -132,8 +140,10 @@ def decide_forms(
         rows,
         changes,
         template_fields=definitions,
+        fields="form.fields",
         open_before=open_before,
         live_keys=live_keys,
+        stage=stage,
         span_limit=span_limit,
         limit=limit,
         width=width,
@@ -146,6 +156,7 @@ def apply_mutations(
     new_ids: bool = True,
     live_keys: DataFrame | None = None,
     open_before: DataFrame | None = None,
+    stage: Stage = unstaged,
     span_limit: int = SPAN_LIMIT,
     limit: int = BROADCAST_BYTES,
     width: int = RANGE_WIDTH,
@@ -153,7 +164,9 @@ def apply_mutations(
     """One outcome per mutation of any kind.
 
     `live_keys` (`kind, template, generation, key`) and `open_before` (`template,
-    generation, fields`) describe the state in front of the batch.
+    generation, fields`) describe the state in front of the batch. With `stage`
+    documents are decoded once and written down before their order is looked at;
+    without it every pass over the mutations decodes them again.
     """
 
     def live(kind: str, *keys: str) -> DataFrame | None:
@@ -162,9 +175,12 @@ def apply_mutations(
         return live_keys.where(F.col("kind") == F.lit(kind)).select(*keys)
 
     templates = decide_templates(mutations, live_keys=live("Template", "key"), width=width)
+    templates = stage(templates, "templates")
     outcomes = [
         templates,
-        decide_schedules(mutations, live_keys=live("Schedule", "key"), width=width),
+        decide_schedules(
+            mutations, live_keys=live("Schedule", "key"), stage=stage, width=width
+        ),
         decide_blobs(mutations, live_keys=live("Bytes", "key"), width=width),
         decide_forms(
             mutations,
@@ -172,6 +188,7 @@ def apply_mutations(
             new_ids=new_ids,
             open_before=open_before,
             live_keys=live("Form", *FORM_KEYS),
+            stage=stage,
             span_limit=span_limit,
             limit=limit,
             width=width,

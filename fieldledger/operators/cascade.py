@@ -14,6 +14,7 @@ from fieldledger.operators.history import decide, version_history
 from fieldledger.operators.joins import BROADCAST_BYTES, join_small
 from fieldledger.operators.ordered import RANGE_WIDTH, carry
 from fieldledger.operators.validate import validate_forms
+from fieldledger.sources.staging import Stage, unstaged
 
 # Template changes up to this number are searched as broadcast intervals.
 SPAN_LIMIT = 1024
@@ -84,8 +85,10 @@ def accept_form_mutations(
     accepted_templates: DataFrame,
     *,
     template_fields: DataFrame | None = None,
+    fields: str = "fields",
     open_before: DataFrame | None = None,
     live_keys: DataFrame | None = None,
+    stage: Stage = unstaged,
     span_limit: int = SPAN_LIMIT,
     limit: int = BROADCAST_BYTES,
     width: int = RANGE_WIDTH,
@@ -108,18 +111,25 @@ def accept_form_mutations(
         reason = F.coalesce("reject_reason", reason)
     if template_fields is not None:
         bound = validate_forms(
-            bound, template_fields, ("template", "generation"), spread="seq", limit=limit
+            bound,
+            template_fields,
+            ("template", "generation"),
+            fields=fields,
+            spread="seq",
+            limit=limit,
         )
         broken = F.col("action").isin("Add", "Edit") & ~F.col("valid")
         reason = F.coalesce(reason, F.when(broken, F.lit("breaks_template")))
     none = F.lit(-1).cast("bigint")
-    checked = bound.withColumn("reject_reason", reason).withColumn(
-        "generation", F.coalesce("generation", none)
+    checked = (
+        bound.withColumn("reject_reason", reason)
+        .withColumn("generation", F.coalesce("generation", none))
+        .drop("valid", "template_known")
     )
-    decided = decide(checked, FORM_KEYS, live_keys=live_keys, width=width)
+    decided = decide(stage(checked, "forms"), FORM_KEYS, live_keys=live_keys, width=width)
     return decided.withColumn(
         "generation", F.when(F.col("generation") >= 0, F.col("generation"))
-    ).drop("valid", "template_known")
+    )
 
 
 def with_template_version(

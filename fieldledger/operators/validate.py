@@ -23,6 +23,7 @@ def validate_forms(
     templates: DataFrame,
     keys: Sequence[str] = ("template",),
     *,
+    fields: str = "fields",
     spread: str = "id",
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
@@ -33,7 +34,7 @@ def validate_forms(
     """
     joined = _with_template(forms, templates, keys, spread, limit)
     known = F.col("template_fields").isNotNull()
-    follows = follows_template(F.col("template_fields"), F.col("fields"))
+    follows = follows_template(F.col("template_fields"), F.col(fields))
     return (
         joined.withColumn("template_known", known)
         .withColumn("valid", F.coalesce(follows, F.lit(False)))

@@ -32,6 +32,7 @@ from fieldledger.session import new_scratch
 from fieldledger.sources import record_files, record_store
 from fieldledger.sources import sample_views as views
 from fieldledger.sources.ledger import Ledger
+from fieldledger.sources.staging import stage_in
 from fieldledger.streaming import change_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +42,7 @@ QUERIES: dict[str, Query] = {}
 FILTER = {"event": "20240101", "scouter": "scouter_7", "match_number": 3, "team": 7}
 TEMPLATE = "view"
 FORM_ID = "3"
-CURSOR_SEQ = 12
+CURSOR_SEQ = 5
 AS_OF = "2024-02-01 00:00:00"
 
 
@@ -367,9 +368,14 @@ def blobs_current(spark, sf_dir):
     return current.select("key", "seq", F.sha2("payload", 256).alias("payload_sha256"))
 
 
+def _staged(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    return stage_in(new_scratch(spark, "stage"))(rows, name)
+
+
 def _accepted_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = views.template_mutations(spark, sf_dir)
-    return history.accept_mutations(changes, ["template"]).where("accepted")
+    accepted = history.accept_mutations(changes, ["template"]).where("accepted")
+    return _staged(spark, accepted, "templates")
 
 
 @register
@@ -377,31 +383,31 @@ def template_generations(spark, sf_dir):
     return cascade.template_generations(_accepted_templates(spark, sf_dir))
 
 
-def _decided_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.accept_form_mutations(
-        views.form_mutations(spark, sf_dir), _accepted_templates(spark, sf_dir)
-    )
+def _decided_forms(spark: SparkSession, sf_dir: str, templates: DataFrame) -> DataFrame:
+    return cascade.accept_form_mutations(views.form_mutations(spark, sf_dir), templates)
 
 
 @register
 def form_mutations(spark, sf_dir):
-    return _decided_forms(spark, sf_dir).select(
+    return _decided_forms(spark, sf_dir, _accepted_templates(spark, sf_dir)).select(
         "template", "key", "seq", "action", "generation", "accepted", "reject_reason"
     )
 
 
 @register
 def forms_current(spark, sf_dir):
-    accepted = _decided_forms(spark, sf_dir).where("accepted")
+    templates = _accepted_templates(spark, sf_dir)
+    accepted = _decided_forms(spark, sf_dir, templates).where("accepted")
     current = history.current_state(accepted, cascade.FORM_KEYS)
-    generations = cascade.template_generations(_accepted_templates(spark, sf_dir))
+    generations = cascade.template_generations(templates)
     return cascade.live_forms(current, generations).select("template", "generation", "key", "seq")
 
 
 @register
 def forms_submit(spark, sf_dir):
     """Form adds: strict decoding, new ids, template check."""
-    outcomes = apply_mutations(views.form_submissions(spark, sf_dir))
+    stage = stage_in(new_scratch(spark, "stage"))
+    outcomes = apply_mutations(views.form_submissions(spark, sf_dir), stage=stage)
     return outcomes.where(F.col("kind") == "Form").select(
         "seq", "template", "generation", "key", F.col("form.id").alias("id"), "accepted",
         "reject_reason",
@@ -414,16 +420,20 @@ def _outcome_columns(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = stage_in(new_scratch(spark, "stage"))
+    return apply_mutations(views.ledger_mutations(spark, sf_dir), new_ids=False, stage=stage)
+
+
 @register
 def mixed_outcomes(spark, sf_dir):
     """All kinds of mutations decided as one batch."""
-    return _outcome_columns(apply_mutations(views.ledger_mutations(spark, sf_dir), new_ids=False))
+    return _outcome_columns(_mixed(spark, sf_dir))
 
 
 @register
 def mixed_change_log(spark, sf_dir):
-    outcomes = apply_mutations(views.ledger_mutations(spark, sf_dir), new_ids=False)
-    return change_log(outcomes.where("accepted"))
+    return change_log(_mixed(spark, sf_dir).where("accepted"))
 
 
 def _committed(spark: SparkSession, sf_dir: str) -> Ledger:
@@ -521,9 +531,10 @@ def artifact_age(spark, sf_dir):
 @register
 def artifact_location(spark, sf_dir):
     """Where each version of each form lies, its template archived or not."""
-    accepted = _decided_forms(spark, sf_dir).where("accepted")
-    versions = history.version_history(accepted, cascade.FORM_KEYS)
-    generations = cascade.template_generations(_accepted_templates(spark, sf_dir))
+    templates = _accepted_templates(spark, sf_dir)
+    accepted = _decided_forms(spark, sf_dir, templates).where("accepted")
+    versions = history.version_history(_staged(spark, accepted, "forms"), cascade.FORM_KEYS)
+    generations = cascade.template_generations(templates)
     named = cascade.with_template_version(versions, generations)
     path = location(
         F.lit("Form"), F.col("key"), F.col("version_id"), F.col("template"), F.col("template_version")

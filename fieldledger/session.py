@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 # Nothing here is required by the operators; a cluster keeps its own values.
 LOCAL_SETTINGS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
