@@ -1,0 +1,146 @@
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from fieldledger.operators import cascade, history
+from fieldledger.operators.ordered import carry
+from model import apply_sequentially, apply_with_templates
+
+QUIET = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+ACTIONS = st.sampled_from(["Add", "Edit", "Delete"])
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "seq bigint, key string, action string")
+
+
+def hot_rows(n, seed=1):
+    rng = random.Random(seed)
+    seqs = rng.sample(range(n * 4), n)
+    keys = ["hot"] * (n // 2) + [f"k{i % 7}" for i in range(n - n // 2)]
+    rng.shuffle(keys)
+    return [(s, k, rng.choice(["Add", "Edit", "Edit", "Delete"])) for s, k in zip(seqs, keys)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 50, 1 << 20])
+def test_accept_equals_one_at_a_time(spark, width):
+    rows = hot_rows(400)
+    expected, live = apply_sequentially(rows)
+    decided = history.accept_mutations(frame(spark, rows), ["key"], width=width)
+    assert {r.seq: r.accepted for r in decided.collect()} == expected
+    current = history.current_state(decided.where("accepted"), ["key"])
+    assert {r.key for r in current.collect()} == live
+
+
+@QUIET
+@given(st.lists(st.tuples(st.sampled_from("ab"), ACTIONS), max_size=30), st.integers(1, 9))
+def test_accept_property(spark, steps, width):
+    rows = [(i, k, a) for i, (k, a) in enumerate(steps)]
+    expected, _ = apply_sequentially(rows)
+    decided = history.accept_mutations(frame(spark, rows), ["key"], width=width)
+    assert {r.seq: r.accepted for r in decided.collect()} == expected
+
+
+def test_batches_equal_one_run(spark):
+    rows = sorted(hot_rows(300, seed=2))
+    expected, _ = apply_sequentially(rows)
+    first, second = rows[:140], rows[140:]
+    one = history.accept_mutations(frame(spark, first), ["key"], width=16)
+    live = history.current_state(one.where("accepted"), ["key"]).select("key")
+    two = history.accept_mutations(frame(spark, second), ["key"], live_keys=live, width=16)
+    got = {r.seq: r.accepted for r in one.unionByName(two).collect()}
+    assert got == expected
+
+
+def test_add_edit_delete_contract(spark):
+    actions = ["Add", "Add", "Edit", "Delete", "Delete", "Edit", "Add"]
+    decided = history.accept_mutations(
+        frame(spark, [(i, "k", a) for i, a in enumerate(actions)]), ["key"]
+    )
+    flags = [r.accepted for r in decided.orderBy("seq").collect()]
+    assert flags == [True, False, True, True, False, False, True]
+    versions = history.version_history(decided.where("accepted"), ["key"], width=2)
+    got = [(r.seq, r.superseded_by, r.version_id is None) for r in versions.orderBy("seq").collect()]
+    assert got == [(0, 2, False), (2, 3, False), (6, None, True)]
+    stored = history.current_state_stored(decided.where("accepted"), ["key"])
+    assert [r.seq for r in stored.collect()] == [6]
+
+
+def test_deleted_records_stay_deleted(spark):
+    rows = [(0, "k", "Add"), (1, "k", "Edit"), (2, "k", "Delete")]
+    accepted = history.accept_mutations(frame(spark, rows), ["key"]).where("accepted")
+    assert history.current_state(accepted, ["key"]).count() == 0
+    assert history.current_state_stored(accepted, ["key"]).count() == 0
+
+
+def test_rows_without_key_are_kept(spark):
+    rows = [(0, None, "Add"), (1, "k", "Add"), (2, None, "Edit")]
+    assert history.accept_mutations(frame(spark, rows), ["key"]).count() == 3
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_carry_without_keys(spark, backward):
+    rows = [(i, "x", "v" if i % 3 == 0 else None) for i in range(40)]
+    value = F.when(F.col("action").isNotNull(), F.col("seq"))
+    got = carry(frame(spark, rows), [], "seq", value, "near", backward=backward, width=4)
+    for r in got.collect():
+        if backward:
+            near = next((i for i in range(r.seq + 1, 40) if i % 3 == 0), None)
+        else:
+            near = next((i for i in range(r.seq - 1, -1, -1) if i % 3 == 0), None)
+        assert r.near == near
+
+
+def mixed_rows(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(n):
+        template = rng.choice(["t0", "t0", "t1"])
+        if rng.random() < 0.1:
+            rows.append((seq, "Template", template, template, rng.choice(["Add", "Add", "Edit", "Delete"])))
+        else:
+            rows.append((seq, "Form", template, rng.choice("abc"), rng.choice(["Add", "Edit", "Delete"])))
+    return rows
+
+
+@pytest.mark.parametrize("span_limit", [0, 1024])
+@pytest.mark.parametrize("width", [5, 1 << 20])
+def test_cascade_equals_one_at_a_time(spark, span_limit, width):
+    rows = mixed_rows(500, seed=3)
+    expected, live = apply_with_templates(rows)
+    all_rows = spark.createDataFrame(
+        rows, "seq bigint, kind string, template string, key string, action string"
+    )
+    templates = history.accept_mutations(
+        all_rows.where("kind = 'Template'").drop("kind", "key"), ["template"], width=width
+    )
+    accepted = templates.where("accepted")
+    forms = cascade.accept_form_mutations(
+        all_rows.where("kind = 'Form'").drop("kind"), accepted, span_limit=span_limit, width=width
+    )
+    got = {r.seq: (r.accepted, None) for r in templates.collect()}
+    got.update({r.seq: (r.accepted, r.generation) for r in forms.collect()})
+    assert got == expected
+    current = history.current_state(forms.where("accepted"), cascade.FORM_KEYS)
+    for limit in (0, 1 << 20):
+        kept = cascade.live_forms(current, cascade.template_generations(accepted), limit=limit)
+        assert {(r.template, r.key) for r in kept.collect()} == live
+
+
+def test_refusals_carry_a_reason(spark):
+    templates = spark.createDataFrame([(0, "t", "Add")], "seq bigint, template string, action string")
+    forms = spark.createDataFrame(
+        [(1, "t", "a", "Edit"), (2, "t", "a", "Add"), (3, "t", "a", "Add"), (4, "u", "a", "Add")],
+        "seq bigint, template string, key string, action string",
+    )
+    out = cascade.accept_form_mutations(forms, templates).orderBy("seq").collect()
+    assert [r.reject_reason for r in out] == ["absent", None, "exists", "no_template"]
+
+
+def test_new_ids_replace_client_ids(spark):
+    rows = frame(spark, [(1, "mine", "Add"), (2, "mine", "Edit")])
+    out = {r.seq: r.key for r in history.assign_record_ids(rows).collect()}
+    assert out[1] != "mine" and out[2] == "mine"

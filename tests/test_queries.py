@@ -1,0 +1,29 @@
+import pytest
+
+import __spark_entry__ as contract
+from compare import connect, differences
+
+QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def connection(sf_dir):
+    return connect(sf_dir)
+
+
+def test_every_oracle_has_a_query():
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == {"file_inventory"}
+
+
+def test_entry(spark):
+    assert contract.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf_dir, connection, name):
+    assert differences(QUERIES[name](spark, sf_dir), connection, ORACLES[name]) == []
+
+
+def test_file_inventory(spark, sf_dir):
+    assert QUERIES["file_inventory"](spark, sf_dir).count() == 14
