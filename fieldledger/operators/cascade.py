@@ -72,12 +72,12 @@ def bind_generation(
     closed = F.lit(-1).cast("bigint")
     mark = F.when(F.col("action") == "Delete", closed).otherwise(F.col("seq"))
     marks = changes.select("template", "seq", mark.alias("_mark"))
-    merged = mutations.withColumn("_mark", F.lit(None).cast("bigint")).unionByName(
-        marks, allowMissingColumns=True
+    asked = mutations.select("template", "seq", F.lit(None).cast("bigint").alias("_mark"))
+    bound = carry(
+        asked.unionByName(marks), ["template"], "seq", F.col("_mark"), "generation", width=width
     )
-    bound = carry(merged, ["template"], "seq", F.col("_mark"), "generation", width=width)
-    found = F.when(F.col("generation") >= 0, F.col("generation"))
-    return bound.where(F.col("_mark").isNull()).withColumn("generation", found).drop("_mark")
+    found = bound.where((F.col("generation") >= 0) & F.col("_mark").isNull())
+    return mutations.join(found.select("seq", "generation"), "seq", "left")
 
 
 def accept_form_mutations(

@@ -53,22 +53,23 @@ def decide(
     live_keys: DataFrame | None = None,
     width: int = RANGE_WIDTH,
 ) -> DataFrame:
-    """`accept_mutations` for rows some of which already have a `reject_reason`.
+    """`accept_mutations` for wide rows some of which already have a `reject_reason`.
 
     Those rows are kept and never count for the state of their record. The other
-    refused rows get the reason `exists` or `absent`.
+    refused rows get the reason `exists` or `absent`. The order is worked out on
+    keys and actions alone; content meets the decision by `seq`, which is unique
+    and so spreads evenly, and is never held by a window.
     """
-    masked = checked.withColumn("_asked", F.col("action")).withColumn(
-        "action", F.when(F.col("reject_reason").isNull(), F.col("action"))
+    action = F.col("action")
+    narrow = checked.select(
+        *keys, "seq", F.when(F.col("reject_reason").isNull(), action).alias("action")
     )
-    decided = accept_mutations(masked, keys, live_keys=live_keys, width=width)
-    refused = F.when(F.col("_asked") == "Add", F.lit("exists")).otherwise(F.lit("absent"))
-    return (
-        decided.withColumn("action", F.col("_asked"))
-        .withColumn(
-            "reject_reason", F.coalesce("reject_reason", F.when(~F.col("accepted"), refused))
-        )
-        .drop("_asked")
+    decisions = accept_mutations(narrow, keys, live_keys=live_keys, width=width)
+    decided = checked.join(decisions.select("seq", "live_before", "accepted"), "seq", "left")
+    refused = F.when(action == "Add", F.lit("exists")).otherwise(F.lit("absent"))
+    accepted = F.coalesce("accepted", F.lit(False))
+    return decided.withColumn("accepted", accepted).withColumn(
+        "reject_reason", F.coalesce("reject_reason", F.when(~F.col("accepted"), refused))
     )
 
 

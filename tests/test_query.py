@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 
 from fieldledger.functions.fields import field_value, template_field
 from fieldledger.operators import lookup, query, validate
+from fieldledger.operators.joins import join_small
 from fieldledger.sources import sample_views as views
 from fieldledger.sources.ledger import write_forms_snapshot, write_keyed_snapshot
 
@@ -64,7 +66,7 @@ def test_validation_paths_agree(spark, sf_dir, limit, plan):
     templates = views.templates(spark, sf_dir).where("name <> 'error'").withColumnRenamed(
         "name", "template")
     checked = validate.validate_forms(forms, templates, limit=limit)
-    assert ("_salt" in plan(checked)) == (limit == 0)
+    assert ("_part" in plan(checked)) == (limit == 0)
     broken = validate.form_violations(forms, templates, limit=limit)
     invalid = checked.where("template_known AND NOT valid").select("template", "id")
     assert invalid.exceptAll(broken.select("template", "id").distinct()).count() == 0
@@ -74,6 +76,16 @@ def test_validation_paths_agree(spark, sf_dir, limit, plan):
     assert accepted.count() + rejected.count() == forms.count()
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_hot_keys_are_cut_into_parts(spark, how):
+    rows = spark.range(1000).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE 'k' || id % 50 END AS k")
+    small = spark.createDataFrame([("hot", 1), ("k2", 2), ("unused", 3)], "k string, n int")
+    whole = join_small(rows, small, ["k"], how, spread=F.col("id"))
+    parted = join_small(rows, small, ["k"], how, spread=F.col("id"), limit=0, hot_rows=50)
+    assert whole.count() == parted.count() and whole.exceptAll(parted).count() == 0
+
+
 def test_named_table_is_made_once(spark):
     made = []
 
