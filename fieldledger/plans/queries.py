@@ -334,7 +334,8 @@ def current_state(spark, sf_dir):
 
 @register
 def version_history(spark, sf_dir):
-    versions = history.version_history(_accepted(spark, sf_dir), ["key"])
+    accepted = _staged(spark, _accepted(spark, sf_dir), "accepted")
+    versions = history.version_history(accepted, ["key"])
     return versions.select("key", "seq", "action", "superseded_by", "version_id")
 
 
@@ -342,15 +343,20 @@ def _of_kind(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return views.ledger_mutations(spark, sf_dir).where(F.col("kind") == kind)
 
 
+def _decided_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = stage_in(new_scratch(spark, "stage"))
+    return decide_schedules(_of_kind(spark, sf_dir, "Schedule"), stage=stage)
+
+
 @register
 def schedule_mutations(spark, sf_dir):
-    decided = decide_schedules(_of_kind(spark, sf_dir, "Schedule"))
+    decided = _decided_schedules(spark, sf_dir)
     return decided.select("key", "seq", "action", "accepted", "reject_reason")
 
 
 @register
 def schedules_current(spark, sf_dir):
-    accepted = decide_schedules(_of_kind(spark, sf_dir, "Schedule")).where("accepted")
+    accepted = _decided_schedules(spark, sf_dir).where("accepted")
     current = history.current_state(accepted, ["key"])
     return _shifts(current.select("key", "seq", "schedule.shifts"), "key", "seq")
 
@@ -470,9 +476,13 @@ def change_log_entries(spark, sf_dir):
     return views.log(spark, sf_dir)
 
 
+def _stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _staged(spark, views.log(spark, sf_dir), "log")
+
+
 @register
 def sync_first(spark, sf_dir):
-    return feed.sync(views.log(spark, sf_dir))
+    return feed.sync(_stored_log(spark, sf_dir))
 
 
 def _cursor(seq: int) -> str:
@@ -485,22 +495,22 @@ def _cursor(seq: int) -> str:
 
 @register
 def sync_after(spark, sf_dir):
-    return feed.sync(views.log(spark, sf_dir), _cursor(CURSOR_SEQ))
+    return feed.sync(_stored_log(spark, sf_dir), _cursor(CURSOR_SEQ))
 
 
 @register
 def sync_after_unknown(spark, sf_dir):
-    return feed.sync(views.log(spark, sf_dir), _cursor(-1))
+    return feed.sync(_stored_log(spark, sf_dir), _cursor(-1))
 
 
 @register
 def sync_drain(spark, sf_dir):
-    return feed.drain(views.log(spark, sf_dir), _cursor(CURSOR_SEQ))
+    return feed.drain(_stored_log(spark, sf_dir), _cursor(CURSOR_SEQ))
 
 
 @register
 def sync_consumers(spark, sf_dir):
-    return feed.next_entries(views.log(spark, sf_dir), views.cursors(spark, sf_dir))
+    return feed.next_entries(_stored_log(spark, sf_dir), views.cursors(spark, sf_dir))
 
 
 @register
@@ -519,7 +529,8 @@ def change_feed_stream(spark, sf_dir):
 
 @register
 def artifact_age(spark, sf_dir):
-    versions = history.version_history(_accepted(spark, sf_dir), ["key"])
+    accepted = _staged(spark, _accepted(spark, sf_dir), "accepted")
+    versions = history.version_history(accepted, ["key"])
     return versions.select(
         "key",
         "seq",
@@ -563,19 +574,21 @@ def store_forms(spark, sf_dir):
     root = _exported(
         spark, forms=views.forms(spark, sf_dir), templates=views.templates(spark, sf_dir)
     )
-    return flat_forms(record_store.import_store(spark, root)["forms"])
+    templates = record_store.read_templates(spark, root)
+    return flat_forms(record_store.import_forms(record_store.read_forms(spark, root), templates))
 
 
 @register
 def store_schedules(spark, sf_dir):
     root = _exported(spark, schedules=views.schedules(spark, sf_dir))
-    return _shifts(record_store.import_store(spark, root)["schedules"], "event")
+    back = record_store.import_schedules(record_store.read_schedules(spark, root))
+    return _shifts(back, "event")
 
 
 @register
 def store_blobs(spark, sf_dir):
     root = _exported(spark, blobs=views.blobs(spark, sf_dir))
-    blobs = record_store.import_store(spark, root)["blobs"]
+    blobs = record_store.import_blobs(record_store.read_blob_files(spark, root))
     return blobs.select("key", "key_sha256", F.sha2("payload", 256).alias("payload_sha256"))
 
 

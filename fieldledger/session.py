@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Nothing here is required by the operators; a cluster keeps its own values.
 LOCAL_SETTINGS = {
@@ -19,6 +19,9 @@ LOCAL_SETTINGS = {
     "spark.driver.memory": "8g",
 }
 
+# A scan of at most this many splits is small enough to shuffle for more tasks.
+FEW_SPLITS = 4
+
 _local_folders: dict[str, str] = {}
 
 
@@ -50,3 +53,13 @@ def shared_folder(spark: SparkSession) -> str:
 def new_scratch(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return f"{shared_folder(spark)}/fieldledger/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread_small(rows: DataFrame) -> DataFrame:
+    """Shares a scan of a few splits among the cores, for costly work per row.
+
+    A table of more splits has tasks enough and stays where it lies.
+    """
+    splits = rows.rdd.getNumPartitions()
+    cores = min(rows.sparkSession.sparkContext.defaultParallelism, 64)
+    return rows.repartition(cores) if splits <= FEW_SPLITS and splits < cores else rows

@@ -20,6 +20,7 @@ from fieldledger.functions.fields import field_value, template_field
 from fieldledger.operators.changelog import change_log
 from fieldledger.operators.history import LOG_IDS, accept_mutations
 from fieldledger.schemas import SHIFT
+from fieldledger.session import spread_small
 
 # A purchase of at least this value stands for a change of a template.
 TEMPLATE_CHANGE_VALUE = 100.0
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much to turn into documents."""
+    return spread_small(table(spark, sf_dir, name))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
@@ -79,7 +85,11 @@ def _form_fields() -> Column:
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One form per event; the event type is the template."""
-    return events(spark, sf_dir).select(
+    return forms_of(events(spark, sf_dir))
+
+
+def forms_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("template"),
         F.lit(0).cast("bigint").alias("generation"),
         F.col("event_id").cast("string").alias("id"),
@@ -138,7 +148,7 @@ def form_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(event_id % 47 == 0, F.regexp_replace("doc", r',"id":"[^"]*"', ""))
         .otherwise(F.col("doc"))
     )
-    plain = forms(spark, sf_dir).select(
+    plain = forms_of(spread_table(spark, sf_dir, "events")).select(
         F.col("id").cast("bigint").alias("event_id"), "template", doc.alias("doc")
     )
     return plain.select("event_id", "template", damaged.alias("doc"))
@@ -244,7 +254,7 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(name == "signup", F.lit("Schedule"))
         .otherwise(F.lit("Template"))
     )
-    return events(spark, sf_dir).select(
+    return spread_table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"),
         derived_id(LOG_IDS, F.col("event_id")).alias("id"),
         kind.alias("kind"),
@@ -328,7 +338,7 @@ def blob_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of events, conversations and pages as one batch of mixed mutations."""
-    event = events(spark, sf_dir)
+    event = spread_table(spark, sf_dir, "events")
     writes = F.col("action").isin("Add", "Edit")
     change = _is_template_change()
     extra = F.when(_k() % 2 == 0, F.lit("note")).otherwise(F.lit("detail"))
