@@ -21,8 +21,12 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_sql(spark, sf_dir, connection, name):
-    assert differences(QUERIES[name](spark, sf_dir), connection, ORACLES[name]) == []
+def test_query_equals_sql(spark, sf_dir, connection, name, plan):
+    result = QUERIES[name](spark, sf_dir)
+    assert differences(result, connection, ORACLES[name]) == []
+    text = plan(result)
+    for node in ("EvalPython", "MapIn", "CartesianProduct", "NestedLoop"):
+        assert node not in text
 
 
 def test_file_inventory(spark, sf_dir):
