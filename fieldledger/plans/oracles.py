@@ -281,6 +281,8 @@ FROM pages""",
     + " FROM faults",
     "forms_to_json": f"""SELECT CAST(event_id AS VARCHAR) AS id, {_JSON} AS doc
 FROM (SELECT *, {_K} AS k FROM events)""",
+    "schedules_to_json": """SELECT DISTINCT 'conv_' || CAST(conv_id AS VARCHAR) AS event,
+  '{"event":"conv_' || CAST(conv_id AS VARCHAR) || '"}' AS row FROM conversations""",
     "log_union_decode": _DECODED_LOG_SQL,
     "validate_forms": _with(_FORMS)
     + f"SELECT template, id, {_KNOWN} AS template_known, {_KNOWN} AND {_VALID} AS valid FROM forms",

@@ -13,6 +13,7 @@ from fieldledger.functions.codecs import (
     encode_blob,
     form_json,
     log_json,
+    row_json,
     sha256_hex,
 )
 from fieldledger.functions.documents import with_decoded
@@ -277,6 +278,12 @@ def forms_to_json(spark, sf_dir):
     return views.forms(spark, sf_dir).select("id", doc.alias("doc"))
 
 
+@register
+def schedules_to_json(spark, sf_dir):
+    rows = query.list_schedules(views.schedules(spark, sf_dir))
+    return rows.select("event", row_json(F.col("event")).alias("row"))
+
+
 @register
 def log_union_decode(spark, sf_dir):
     entry = [F.col(c) for c in ("id", "kind", "template", "action", "new_path")]
