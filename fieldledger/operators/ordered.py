@@ -17,24 +17,32 @@ from pyspark.sql import functions as F
 
 # Rows of one key and range that one window task may have to hold.
 RANGE_WIDTH = 1 << 20
-# Hot keys looked for, and counters kept per task to find them. A key is only
-# missed when it holds less than about one row in 75,000 of all.
+# Keys and counters kept per group of tasks while looking for hot keys: one with a
+# share of 1/5,000 of the rows is found. The groups are merged in many tasks.
+GROUP_KEYS = 5_000
+GROUP_COUNTERS = 20_000
+TASK_GROUPS = 512
 HOT_KEYS = 10_000
-HOT_COUNTERS = 100_000
 
 _BEFORE_ALL = -(1 << 62)
+_HOT = "_hash bigint, _hot boolean"
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], more_than: int) -> DataFrame:
-    """Hashes `_hash` of the keys with more rows, at most `HOT_KEYS` of them.
+def find_hot_keys(rows: DataFrame, keys: Sequence[str], more_than: int) -> list[int]:
+    """Hashes of the keys with more rows, the largest `HOT_KEYS` at most.
 
-    The counts may err; they only decide how rows are spread, never a result.
+    The counts may err; they only decide how rows are spread, never a result. The
+    list is fixed before the plan is made, so that all parts of the plan, and all
+    retries of their tasks, go by the same one.
     """
     top = F.call_function(
-        "approx_top_k", F.xxhash64(*keys), F.lit(HOT_KEYS), F.lit(HOT_COUNTERS)
+        "approx_top_k", F.xxhash64(*keys), F.lit(GROUP_KEYS), F.lit(GROUP_COUNTERS)
     )
-    counted = rows.agg(top.alias("top")).select(F.inline("top"))
-    return counted.where(F.col("count") > more_than).select(F.col("item").alias("_hash"))
+    group = F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS))
+    found = rows.select(*keys, group.alias("_group")).groupBy("_group").agg(top.alias("_top"))
+    counted = found.select(F.inline("_top")).groupBy("item").agg(F.sum("count").alias("n"))
+    largest = counted.where(F.col("n") > more_than).orderBy(F.col("n").desc()).limit(HOT_KEYS)
+    return [row["item"] for row in largest.collect()]
 
 
 def _range_of(seq: str, width: int) -> Column:
@@ -76,17 +84,44 @@ def carry(
         valued = valued.withColumn("_given", F.lit(False)).unionByName(
             given, allowMissingColumns=True
         )
-    if keys:
-        hot = hot_keys(rows, keys, width).withColumn("_hot", F.lit(True))
+    no_range = F.lit(None).cast("bigint")
+    hot = find_hot_keys(rows, keys, width) if keys else []
+    if not keys:
+        ranged = valued.withColumn("_range", _range_of(seq, width))
+    elif hot:
+        hashes = rows.sparkSession.createDataFrame([(item, True) for item in hot], _HOT)
         ranged = (
             valued.withColumn("_hash", F.xxhash64(*keys))
-            .join(F.broadcast(hot), "_hash", "left")
+            .join(F.broadcast(hashes), "_hash", "left")
             .withColumn("_range", F.when(F.col("_hot"), _range_of(seq, width)))
             .drop("_hash", "_hot")
         )
     else:
-        ranged = valued.withColumn("_range", _range_of(seq, width))
+        ranged = valued.withColumn("_range", no_range)
+
+    seq_order = F.col(seq).desc() if backward else F.col(seq).asc()
+    within_range = (
+        Window.partitionBy(*keys, "_range")
+        .orderBy(seq_order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = F.last("_value", ignorenulls=True).over(within_range)
+    if keys and not hot:
+        carried = ranged.withColumn(name, inside)
+    else:
+        entering = _entering(ranged, keys, seq, backward)
+        carried = (
+            ranged.join(entering.hint("shuffle_hash"), [*keys, "_range"], "left")
+            .withColumn(name, F.coalesce(inside, F.col("_entering")))
+            .drop("_entering")
+        )
+    if initial is not None:
+        carried = carried.where(~F.col("_given")).drop("_given")
+    return carried.drop("_range", "_value")
+
 
+def _entering(ranged: DataFrame, keys: Sequence[str], seq: str, backward: bool) -> DataFrame:
+    """What each range of a hot key gets from the ranges on its far side."""
     nearest = F.min_by if backward else F.max_by
     known = F.when(F.col("_value").isNotNull(), F.col(seq))
     summary = (
@@ -100,20 +135,6 @@ def carry(
         .orderBy(range_order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    entering = summary.select(
+    return summary.select(
         *keys, "_range", F.last("_value", ignorenulls=True).over(over_ranges).alias("_entering")
     )
-
-    seq_order = F.col(seq).desc() if backward else F.col(seq).asc()
-    within_range = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy(seq_order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inside = F.last("_value", ignorenulls=True).over(within_range)
-    carried = ranged.join(entering.hint("shuffle_hash"), [*keys, "_range"], "left").withColumn(
-        name, F.coalesce(inside, F.col("_entering"))
-    )
-    if initial is not None:
-        carried = carried.where(~F.col("_given")).drop("_given")
-    return carried.drop("_range", "_value", "_entering")

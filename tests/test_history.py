@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldledger.operators import cascade, history
-from fieldledger.operators.ordered import carry
+from fieldledger.operators.ordered import carry, find_hot_keys
 from model import apply_sequentially, apply_with_templates
 
 QUIET = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -144,3 +144,15 @@ def test_new_ids_replace_client_ids(spark):
     rows = frame(spark, [(1, "mine", "Add"), (2, "mine", "Edit")])
     out = {r.seq: r.key for r in history.assign_record_ids(rows).collect()}
     assert out[1] != "mine" and out[2] == "mine"
+
+
+def test_hot_keys_are_found(spark):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'k' || id END AS key")
+    expected = rows.where("key = 'hot'").select(F.xxhash64("key")).first()[0]
+    assert find_hot_keys(rows, ["key"], 100) == [expected]
+    assert find_hot_keys(rows, ["key"], 2000) == []
+
+
+def test_even_keys_take_one_shuffle(spark, plan):
+    rows = frame(spark, [(i, f"k{i % 9}", "Add") for i in range(90)])
+    assert plan(history.accept_mutations(rows, ["key"])).count("Exchange hashpartitioning") == 1
