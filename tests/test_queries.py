@@ -2,8 +2,8 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, differences
-
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from fieldledger.plans.oracles import ORACLES
+from fieldledger.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +16,11 @@ def test_every_oracle_has_a_query():
     assert set(QUERIES) - set(ORACLES) == {"file_inventory"}
 
 
+def test_all_queries_are_registered():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
