@@ -1,0 +1,62 @@
+import pytest
+from pyspark.sql import functions as F
+
+from fieldledger.llm.exact_dedup import drop_copies, mark_copies
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+ROWS = [
+    (5, "a b", "x"),
+    (3, "ab", "x"),
+    (9, " a\tb\x0b", None),
+    (1, None, "x"),
+    (2, "", "x"),
+    (None, " \n", "x"),
+    (7, "c d", "x"),
+    (8, "cd", "x"),
+    (8, "cd", "x"),
+    (10, "long " * 40_000, "x"),
+    (11, "long" * 40_000, "x"),
+    (12, "A b", "x"),
+]
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", s, 1, "no") for i, t, s in ROWS], SCHEMA)
+
+
+def expected():
+    groups = {}
+    for doc_id, text, _ in ROWS:
+        key = "".join(c for c in text or "" if c not in " \t\n\x0b\x0c\r")
+        groups.setdefault(key, []).append((-len(text or ""), doc_id is None, doc_id or 0, doc_id))
+    return {
+        (doc_id, min(group)[3], len(group), doc_id == min(group)[3])
+        for group in groups.values()
+        for *_, doc_id in group
+    }
+
+
+def rows_of(df):
+    return {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect()}
+
+
+def test_groups_equal_brute_force(docs):
+    assert rows_of(mark_copies(docs)) == expected()
+    assert mark_copies(docs).count() == len(ROWS)
+
+
+def test_colliding_hashes_are_told_apart(docs):
+    assert rows_of(mark_copies(docs, hash_of=lambda text: F.lit(b"same"))) == expected()
+
+
+def test_survivors_keep_their_columns(docs):
+    kept = drop_copies(docs)
+    assert kept.columns == docs.columns
+    want = sorted((g[1] is not None, g[1] or 0) for g in expected() if g[3])
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == want
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert mark_copies(none).count() == 0 and drop_copies(none).count() == 0

@@ -1,0 +1,14 @@
+import pytest
+
+from compare import connect, differences
+from fieldledger.llm.queries import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def connection(sf_dir):
+    return connect(sf_dir)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf_dir, connection, name):
+    assert differences(QUERIES[name](spark, sf_dir), connection, ORACLES[name]) == []
