@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def on_workers(rows: DataFrame) -> DataFrame:
+    """Lets Python workers import this package from a checkout that is not installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    rows.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return rows
+
+
 def map_batches(
     rows: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
@@ -56,4 +64,4 @@ def map_batches(
             if batch.num_rows:
                 yield from work(batch)
 
-    return rows.mapInArrow(run, schema)
+    return on_workers(rows).mapInArrow(run, schema)
