@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from fieldledger.llm import exact_dedup
+from fieldledger.llm import bpe, exact_dedup, licenses, packing, quality, secrets, url_filter
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op5_packing": packing.op5_packing,
+    "op6_licenses": licenses.op6_licenses,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_quality": quality.op9_quality,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLES = {
+    "op4_url_filter": url_filter.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
