@@ -65,3 +65,24 @@ def map_batches(
                 yield from work(batch)
 
     return on_workers(rows).mapInArrow(run, schema)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
+    """Runs of rows with equal keys, which may reach over several batches."""
+    held: dict[str, list] = {}
+    last = None
+    for batch in batches:
+        columns = batch.to_pydict()
+        marks = list(zip(*(columns[key] for key in keys), strict=True))
+        start = 0
+        for end in range(1, len(marks) + 1):
+            if end < len(marks) and marks[end] == marks[start]:
+                continue
+            if held and marks[start] != last:
+                yield held
+                held = {}
+            for name, values in columns.items():
+                held.setdefault(name, []).extend(values[start:end])
+            last, start = marks[start], end
+    if held:
+        yield held
