@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+
+from fieldledger.llm import vectors
+
+SCHEMA = "vec_id long, embedding array<float>, label int, component_id string"
+
+
+def make(seed=1):
+    draw = np.random.default_rng(seed)
+    rows = list(draw.normal(size=(250, 16)))
+    for base in draw.normal(size=(12, 16)):
+        rows += list(base + draw.normal(size=(12, 16)) * draw.uniform(0.05, 0.45))
+    rows += [rows[0]] * 40 + [rows[1] * 3.5, -rows[2]]
+    ids = draw.permutation(len(rows)).tolist()
+    odd = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0]]
+    table = [(i, row.astype(np.float32).tolist()) for i, row in zip(ids, rows, strict=True)]
+    return table + [(1000 + i, row) for i, row in enumerate(odd)] + [(None, table[0][1])]
+
+
+def expected(table, cosine=0.9):
+    known = [(i, np.array(v, float)) for i, v in table if i is not None and i < 1000]
+    points = vectors.units(np.array([v for _, v in known]))
+    ids = np.array([i for i, _ in known])
+    near = points @ points.T >= cosine
+    root = ids.copy()
+    while True:
+        low = np.array([root[row].min() for row in near])
+        if (low == root).all():
+            break
+        root = low
+    return {int(i): (int(row.sum()) - 1, int(r)) for i, row, r in zip(ids, near, root, strict=True)}
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "PER_LIST", 40)
+    table = make()
+    df = spark.createDataFrame([(i, v, 0, "clash") for i, v in table], SCHEMA)
+    got = vectors.vector_components(df, block=block).collect()
+    assert len(got) == len(table)
+    want = expected(table)
+    by_id = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
+    # About a dozen probes of as many lists: the codes and the counting lose nothing.
+    assert all(by_id[i] == (n, c, c == i) for i, (n, c) in want.items())
+    assert all(by_id[i] == (0, i, True) for i in range(1000, 1007))
+    assert by_id[None] == (0, None, True)
+
+
+def test_recall_with_few_probes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_LIST", 8)
+    table = make(2)
+    df = spark.createDataFrame([(i, v, 0, "clash") for i, v in table], SCHEMA)
+    want = expected(table)
+    got = {r.vec_id: r.n_links for r in vectors.vector_components(df).collect()}
+    assert all(got[i] <= n for i, (n, _) in want.items())
+    assert sum(got[i] for i in want) >= 0.95 * sum(n for n, _ in want.values())
+
+
+def test_no_usable_vector(spark):
+    for rows in ([], [(1, None, 0, ""), (2, [0.0], 0, "")]):
+        got = vectors.vector_components(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert [tuple(r) for r in got] == [(i, 0, i, True) for i, *_ in rows]
+
+
+def test_code_distances_never_exceed_their_error():
+    draw = np.random.default_rng(5)
+    points = vectors.units(draw.normal(size=(600, 16)))
+    index = vectors.fit_index(points, 8)
+    near = vectors.nearest(points, index.centres)[:, 0]
+    own = points[near == near[0]]
+    residuals = own - index.centres[near[0]]
+    codes, missed = index.encode(residuals)
+    true = np.sqrt(((own[:, None] - own[None]) ** 2).sum(axis=2))
+    assert (index.distances(residuals, codes) - missed[None, :] <= true + 1e-9).all()
