@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from fieldledger.llm import bpe, exact_dedup, licenses, packing, quality, secrets, url_filter
+from fieldledger.llm import (
+    bpe,
+    exact_dedup,
+    licenses,
+    near_dedup,
+    packing,
+    passages,
+    quality,
+    secrets,
+    url_filter,
+    vectors,
+)
 
 QUERIES = {
+    "op1_substring_dedup": passages.op1_substring_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_minhash_near_dedup": near_dedup.op3_minhash_near_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_packing": packing.op5_packing,
     "op6_licenses": licenses.op6_licenses,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_embedding_near_dedup": vectors.op8_embedding_near_dedup,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
 }
