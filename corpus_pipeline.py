@@ -1,35 +1,62 @@
 """From raw documents to packed training sequences: five stages over the corpus.
 
-Each stage works on all that its predecessor kept, as one table of documents; the last
-returns the pieces of the packed sequences.
+Each stage works on all that its predecessor kept, as one table of documents, and returns
+the columns of that table; the last returns the pieces of the packed sequences.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldledger.llm import exact_dedup
+from fieldledger.llm import bpe, exact_dedup, near_dedup, packing, quality, secrets
 from fieldledger.session import new_scratch
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, accepts."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; credentials that look live are blanked, widely copied examples stay."""
+    return secrets.redact(docs, F.col("source"), secrets.repository_of())
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    return packing.pack_examples(docs, public_tokenizers.path(bpe.RANKS))
+
+
 STAGES = [
+    ("quality classifier", keep_quality),
     ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("secret scans", redact_secrets),
+    ("packing", pack),
 ]
 
-# The classifier and the packing cannot be stated in SQL; the tests check each stage instead.
+# The classifier and the packing cannot be stated in SQL; tests compare each stage with a
+# brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         path = new_scratch(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
