@@ -28,6 +28,8 @@ from fieldledger.llm.common import WHITE, free_name, staged, table, whole_text
 
 TRAIN_ROWS = 50_000
 TREES, DEPTH, BINS, PENALTY = 24, 3, 64, 0.0005
+# The rows of a fit are bounded, and so are the tasks of its many short passes.
+FIT_TASKS = 8
 ACCEPT = 0.7
 SHORT_WORD = 3
 
@@ -131,6 +133,7 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ru
     if n > train_rows:
         drawn = F.pmod(F.xxhash64("doc_id"), F.lit(n)) < train_rows
         known = known.where(drawn)
+    known = known.coalesce(FIT_TASKS)
     vectors = known.select("label", array_to_vector(F.array(*names)).alias("features"))
     forest = RandomForestClassifier(
         numTrees=TREES, maxDepth=DEPTH, maxBins=BINS, seed=9, featureSubsetStrategy="sqrt"
@@ -143,7 +146,7 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ru
         "label", array_to_vector(F.array(*[rule.expression() for rule in rules])).alias("features")
     )
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, maxIter=60).fit(
-        staged(fired, "quality-rules")
+        staged(fired, "quality-rules").coalesce(FIT_TASKS)
     )
     weighed = zip(rules, lasso.coefficients.toArray().tolist(), strict=True)
     return RuleModel(float(lasso.intercept), tuple((r, w) for r, w in weighed if w))

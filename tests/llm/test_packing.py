@@ -1,0 +1,69 @@
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from fieldledger.llm import bpe
+from fieldledger.llm.packing import END_ID, Example, Limits, Packer, pack_examples
+
+RANKS = public_tokenizers.path(bpe.RANKS)
+
+
+def check(pieces, texts, limits):
+    ids = {k: [*bpe.encoding(RANKS).encode_ordinary(t or ""), END_ID] for k, t in texts.items()}
+    own, sequences = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        part = ids[p.doc_id][p.start : p.start + p.length]
+        assert p.ids_crc32 == zlib.crc32(np.array(part, dtype="<u4").tobytes())
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.length > 0
+        own[p.doc_id].append((p.start, p.length))
+        sequences[p.sequence_id].append((p.offset, p.length, p.loss_tokens))
+    for k, whole in ids.items():
+        at = 0
+        for start, length in sorted(own[k]):
+            assert start == at
+            at += length
+        assert at == len(whole)
+    for pieces in sequences.values():
+        at = 0
+        for offset, length, _ in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == limits.tokens or at & (at - 1) == 0
+        assert at <= limits.tokens and len(pieces) <= limits.segments
+        assert sum(loss for *_, loss in pieces) <= limits.loss_tokens
+
+
+TEXTS = {i: "some words of text " * (i * 7 % 40) for i in range(60)} | {60: None, 61: "", 62: "long " * 9000}
+
+
+def test_pieces_cover_and_fill(make_docs):
+    docs = make_docs(list(TEXTS.items()))
+    check(pack_examples(docs, RANKS).collect(), TEXTS, Limits())
+
+
+def test_all_limits_hold(make_docs):
+    limits = Limits(tokens=64, segments=3, loss_tokens=40, pool=8)
+    docs = make_docs([(i, t) for i, t in TEXTS.items() if i != 62])
+    texts = {i: t for i, t in TEXTS.items() if i != 62}
+    check(pack_examples(docs, RANKS, limits).collect(), texts, limits)
+    masked = pack_examples(docs, RANKS, limits, loss_from=F.lit(10)).collect()
+    check(masked, texts, limits)
+    assert sum(p.loss_tokens for p in masked) == sum(
+        max(0, p.start + p.length - max(p.start + 1, 10)) for p in masked
+    )
+
+
+def test_dot_product_prefers_what_fits_the_rest():
+    packer = Packer(Limits(tokens=100, segments=2, loss_tokens=99), 0)
+    packer.pool = [Example(i, np.arange(n), 0) for i, n in enumerate((20, 70, 30, 60))]
+    packer.fill()
+    # The largest first, then the largest that still fits.
+    assert [row[0] for row in packer.rows] == [1, 2]
+
+
+def test_empty_table_and_null_id(make_docs):
+    assert pack_examples(make_docs([]), RANKS).count() == 0
+    assert [p.doc_id for p in pack_examples(make_docs([(None, None)]), RANKS).collect()] == [None]
