@@ -3,8 +3,8 @@
 A text of up to `CHUNK` characters is encoded where it lies. A longer one is cut into chunks
 that reach `OVERLAP` characters into their successor; the chunks spread over the cluster
 and are pre-tokenised on their own. The pattern looks ahead only, so two neighbours that
-share one boundary in the overlap agree on all that follows: the text is cut there, and the
-pieces are encoded in parallel. Decoding turns the ids of each piece into raw bytes and
+share one boundary in the overlap agree on all that follows: the text is cut there, behind a
+character that is no white space, and the pieces are encoded in parallel. Decoding turns the ids of each piece into raw bytes and
 concatenates these, so a character split between ids comes back whole.
 
 A neighbour without a common boundary in the overlap (one run longer than it) is glued to
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fieldledger.llm.common import map_batches, staged, table, whole_text
 
 RANKS = "byte_bpe_50k.tiktoken"
-CHUNK, OVERLAP = 8192, 512
+CHUNK, OVERLAP = 32_768, 1024
 # A boundary this close to the end of a chunk may depend on what follows it.
 UNSURE = 8
 
@@ -95,9 +95,11 @@ def chunk_edges(chunks: DataFrame, chunk: int, overlap: int) -> DataFrame:
         heads, tails = [], []
         starts = batch.column("start").to_pylist()
         for start, text in zip(starts, batch.column("chunk").to_pylist(), strict=True):
+            # Only there does nothing in front of a boundary depend on what follows it.
             bounds = [match.start() for match in pretokens().finditer(text)]
+            bounds = [b for b in bounds if b and not text[b - 1].isspace()]
             sure = len(text) - UNSURE
-            heads.append([start + b for b in bounds if 0 < b < overlap])
+            heads.append([start + b for b in bounds if b < overlap])
             tails.append([start + b for b in bounds if chunk < b <= sure])
         ints = pa.list_(pa.int64())
         yield pa.record_batch(

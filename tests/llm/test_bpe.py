@@ -29,7 +29,7 @@ def digests(text):
     return len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("chunk,overlap", [(8192, 512), (64, 24), (100, 60)])
+@pytest.mark.parametrize("chunk,overlap", [(8192, 512), (64, 24), (100, 60), (150, 40)])
 def test_ids_and_round_trip(make_docs, chunk, overlap):
     rows = list(enumerate(TEXTS)) + [(None, "no id"), (3, "one"), (7, TEXTS[-1])]
     got = bpe.token_digests(make_docs(rows), RANKS, chunk, overlap).collect()
