@@ -191,10 +191,11 @@ def redact(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     same = rows["doc_id"].eqNullSafe(live[f"{key}_id"]) & (rows[key] == live[f"{key}_found"])
     joined = rows.join(live, same, "left")
     text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(_without(whole_text(), F.col(spans)))
-    changed = {"text": text}
+    done = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length(text))
-    return joined.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        chars = F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
+        done = done.withColumn("n_chars", chars)
+    return done.select(*docs.columns)
 
 
 def _without(text: Column, spans: Column) -> Column:
