@@ -164,7 +164,8 @@ def encode_long(docs: DataFrame, ranks_path: str, chunk: int, overlap: int) -> D
     chunks = chunk_texts(docs.withColumn("row", F.monotonically_increasing_id()), chunk, overlap)
     # Written once: row numbers must not change between the uses below.
     chunks = staged(chunks.repartition("row", "number"), "bpe-chunks")
-    pieces = stitch(chunks, chunk_edges(chunks, chunk, overlap))
+    edges = staged(chunk_edges(chunks, chunk, overlap), "bpe-edges")
+    pieces = stitch(chunks, edges)
     parts = encode_pieces(pieces, ranks_path).groupBy("row", "doc_id").agg(
         F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("parts")
     )
