@@ -34,8 +34,11 @@ HEADLINE = (
     "sync_after",
     "sync_consumers",
     "change_feed_stream",
+    "ledger_forms",
+    "ledger_change_log",
     "artifact_age",
     "artifact_location",
+    "store_forms",
     "store_schedules",
     "store_log",
 )

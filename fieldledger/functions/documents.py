@@ -51,6 +51,12 @@ def _only_value(doc: Column, bracketed: Column) -> Column:
     )
 
 
+def string_member(parsed: Column, name: str) -> Column:
+    """The string under a name of a parsed object; null for any other value."""
+    kind = F.schema_of_variant(F.variant_get(parsed, f"$.{name}", "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(parsed, f"$.{name}", "string"))
+
+
 def with_parsed(rows: DataFrame, doc: str, name: str = "_parsed") -> DataFrame:
     """Adds the one JSON value of a text as VARIANT; null for anything else.
 

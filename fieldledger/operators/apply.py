@@ -15,7 +15,7 @@ from fieldledger.operators.cascade import FORM_KEYS, SPAN_LIMIT, accept_form_mut
 from fieldledger.operators.history import assign_record_ids, decide
 from fieldledger.operators.joins import BROADCAST_BYTES
 from fieldledger.operators.ordered import RANGE_WIDTH
-from fieldledger.schemas import ACTIONS
+from fieldledger.schemas import ACTIONS, KINDS
 from fieldledger.sources.staging import Stage, unstaged
 
 # Columns of an outcome; the record columns of the other kinds are null.
@@ -42,6 +42,24 @@ def _unusable() -> Column:
     return F.when(~(known & placed), F.lit("bad_mutation"))
 
 
+def _known_kind() -> Column:
+    return F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
+
+
+def refuse_unknown(mutations: DataFrame) -> DataFrame:
+    """Outcomes of the mutations whose kind is missing or none of the known ones."""
+    return mutations.where(~_known_kind()).select(
+        "seq",
+        "kind",
+        "template",
+        "key",
+        "action",
+        F.lit(False).alias("accepted"),
+        F.lit("bad_mutation").alias("reject_reason"),
+        "committed_at",
+    )
+
+
 def _decoded(mutations: DataFrame, kind: str, decode, record: str) -> DataFrame:
     """Rows of one kind with the record of their document and a `reject_reason`."""
     rows = mutations.where(F.col("kind") == F.lit(kind))
@@ -69,11 +87,15 @@ def _keyed(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def decide_templates(
-    mutations: DataFrame, *, live_keys: DataFrame | None = None, width: int = RANGE_WIDTH
+    mutations: DataFrame,
+    *,
+    live_keys: DataFrame | None = None,
+    stage: Stage = unstaged,
+    width: int = RANGE_WIDTH,
 ) -> DataFrame:
     """Outcomes of the template mutations; the key is the name in the document."""
     rows = _decoded(mutations, "Template", decode_template, "template_record")
-    rows = _keyed(rows, F.coalesce("template_record.name", "key"))
+    rows = stage(_keyed(rows, F.coalesce("template_record.name", "key")), "template-rows")
     return decide(rows, ["key"], live_keys=live_keys, width=width)
 
 
@@ -164,17 +186,21 @@ def apply_mutations(
     """One outcome per mutation of any kind.
 
     `live_keys` (`kind, template, generation, key`) and `open_before` (`template,
-    generation, fields`) describe the state in front of the batch. With `stage`
-    documents are decoded once and written down before their order is looked at;
-    without it every pass over the mutations decodes them again.
+    generation, fields`) describe the state in front of the batch. With `stage` the
+    mutations are read once, and documents are decoded once and written down before
+    their order is looked at; without it every pass over the mutations runs and
+    decodes them again. Mutations of an unknown kind are refused as `bad_mutation`.
     """
+    mutations = stage(mutations, "mutations")
 
     def live(kind: str, *keys: str) -> DataFrame | None:
         if live_keys is None:
             return None
         return live_keys.where(F.col("kind") == F.lit(kind)).select(*keys)
 
-    templates = decide_templates(mutations, live_keys=live("Template", "key"), width=width)
+    templates = decide_templates(
+        mutations, live_keys=live("Template", "key"), stage=stage, width=width
+    )
     templates = stage(templates, "templates")
     outcomes = [
         templates,
@@ -193,6 +219,7 @@ def apply_mutations(
             limit=limit,
             width=width,
         ),
+        refuse_unknown(mutations),
     ]
     merged = outcomes[0]
     for rows in outcomes[1:]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.functions.codecs import derived_id
+from fieldledger.operators.joins import BROADCAST_BYTES, fits_broadcast
 from fieldledger.operators.ordered import RANGE_WIDTH, carry
 
 LOG_IDS = "log"
@@ -20,6 +21,7 @@ def accept_mutations(
     keys: Sequence[str],
     *,
     live_keys: DataFrame | None = None,
+    limit: int = BROADCAST_BYTES,
     width: int = RANGE_WIDTH,
 ) -> DataFrame:
     """Adds `live_before` and `accepted` to mutations ordered by `seq`.
@@ -27,13 +29,19 @@ def accept_mutations(
     An Add needs an absent record, an Edit or Delete a live one. A refused row
     leaves the state as it was, and so does an accepted Edit, hence the state in
     front of a row follows from the nearest earlier Add or Delete alone.
-    `live_keys` are the keys live before the first row.
+    `live_keys` are the keys live before the first row; only those that the
+    mutations name are looked at.
     """
     action = F.col("action")
     live_after = F.when(action == "Add", F.lit(True)).when(action == "Delete", F.lit(False))
     initial = None
     if live_keys is not None:
-        initial = live_keys.select(*keys).distinct().withColumn("live_before", F.lit(True))
+        known = live_keys.select(*keys).distinct()
+        asked = mutations.select(*keys).distinct()
+        if fits_broadcast(asked, limit):
+            # Narrowed where the earlier state is scanned, before it is shuffled.
+            known = known.join(F.broadcast(asked), list(keys), "left_semi")
+        initial = known.withColumn("live_before", F.lit(True))
     stated = carry(
         mutations, keys, "seq", live_after, "live_before", initial=initial, width=width
     )

@@ -1,53 +1,56 @@
 """Ordered look-back and look-ahead per key that survive one huge key.
 
-A window per key puts all rows of the key into one task. Here the keys with very
-many rows are found first, and only theirs are cut along `seq` into ranges of a
-fixed width: a task then holds at most `width` rows of one key at a time, as `seq`
-is unique. What enters a range from the ranges before it comes from a summary
-with one row per hot key and range, pre-aggregated on the map side. All other
-rows cost the one shuffle of a plain window.
+A window per key puts all rows of the key into one task. Here the rows of every key
+are counted first, and keys with more than `width` rows are cut along `seq` into
+ranges of about `width` rows, whatever the gaps in `seq` are. What enters a range
+from the ranges before it comes from a summary with one row per hot key and range,
+pre-aggregated on the map side. All other rows cost the one shuffle of a plain
+window. Null keys are one key, hot or not, as they are for a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key and range that one window task may have to hold.
+# Rows of one key and range that one window task may have to hold, give or take a tenth.
 RANGE_WIDTH = 1 << 20
-# Keys and counters kept per group of tasks while looking for hot keys: one with a
-# share of 1/5,000 of the rows is found. The groups are merged in many tasks.
-GROUP_KEYS = 5_000
-GROUP_COUNTERS = 20_000
-TASK_GROUPS = 512
-HOT_KEYS = 10_000
 
 _BEFORE_ALL = -(1 << 62)
-_HOT = "_hash bigint, _hot boolean"
 
 
-def find_hot_keys(rows: DataFrame, keys: Sequence[str], more_than: int) -> list[int]:
-    """Hashes of the keys with more rows, the largest `HOT_KEYS` at most.
+def _hash_of(keys: Sequence[str], seq: str) -> Column:
+    # Without keys all rows have one hash; a literal would make the join on it a nested loop.
+    return F.xxhash64(*keys) if keys else F.pmod(F.col(seq), F.lit(1).cast("bigint"))
 
-    The counts may err; they only decide how rows are spread, never a result. The
-    list is fixed before the plan is made, so that all parts of the plan, and all
-    retries of their tasks, go by the same one.
-    """
-    top = F.call_function(
-        "approx_top_k", F.xxhash64(*keys), F.lit(GROUP_KEYS), F.lit(GROUP_COUNTERS)
-    )
-    group = F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS))
-    found = rows.select(*keys, group.alias("_group")).groupBy("_group").agg(top.alias("_top"))
-    counted = found.select(F.inline("_top")).groupBy("item").agg(F.sum("count").alias("n"))
-    largest = counted.where(F.col("n") > more_than).orderBy(F.col("n").desc()).limit(HOT_KEYS)
-    return [row["item"] for row in largest.collect()]
 
+def range_cuts(rows: DataFrame, keys: Sequence[str], seq: str, width: int) -> DataFrame | None:
+    """`_hash` and `_cuts`, the last `seq` of all ranges but one, of keys with more rows.
 
-def _range_of(seq: str, width: int) -> Column:
-    column = F.col(seq)
-    return F.call_function("div", column - F.pmod(column, F.lit(width)), F.lit(width))
+    None when no key has. The cuts are fixed before the plan is made, so that all its
+    parts, and all retries of their tasks, go by the same ones. They are two per
+    `width` rows at most: a key gets the next power of two of the ranges it needs.
+    """
+    session = rows.sparkSession
+    hashed = rows.select(_hash_of(keys, seq).alias("_hash"), F.col(seq).alias("_seq"))
+    counts = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where(F.col("n") > width)
+    by_parts: dict[int, list[tuple[int]]] = {}
+    for row in counts.collect():
+        needed = -(-row["n"] // width)
+        by_parts.setdefault(1 << (needed - 1).bit_length(), []).append((row["_hash"],))
+    found = []
+    for parts, hashes in sorted(by_parts.items()):
+        wanted = F.broadcast(session.createDataFrame(hashes, "_hash bigint"))
+        shares = [i / parts for i in range(1, parts)]
+        cuts = F.percentile_approx("_seq", shares, 10 * parts)
+        found += hashed.join(wanted, "_hash").groupBy("_hash").agg(cuts.alias("_cuts")).collect()
+    if not found:
+        return None
+    cut = [(row["_hash"], sorted(set(row["_cuts"]))) for row in found]
+    return session.createDataFrame(cut, "_hash bigint, _cuts array<bigint>")
 
 
 def carry(
@@ -65,8 +68,8 @@ def carry(
 
     With `backward` it is the nearest later one. `initial` (the keys and a column
     `name`, one row per key) gives the value in front of the first row. `seq` must
-    be unique within a key. Rows with a null key are kept but see only their range.
-    Rows should be narrow, as windows hold them: bring content in by `seq` later.
+    be unique within a key. Rows should be narrow, as windows hold them: bring content
+    in by `seq` later.
     """
     if width <= 0:
         raise ValueError("width must be positive")
@@ -84,20 +87,17 @@ def carry(
         valued = valued.withColumn("_given", F.lit(False)).unionByName(
             given, allowMissingColumns=True
         )
-    no_range = F.lit(None).cast("bigint")
-    hot = find_hot_keys(rows, keys, width) if keys else []
-    if not keys:
-        ranged = valued.withColumn("_range", _range_of(seq, width))
-    elif hot:
-        hashes = rows.sparkSession.createDataFrame([(item, True) for item in hot], _HOT)
+    cuts = range_cuts(rows, keys, seq, width)
+    if cuts is None:
+        ranged = valued.withColumn("_range", F.lit(None).cast("int"))
+    else:
+        passed = F.size(F.filter("_cuts", lambda cut: cut < F.col(seq)))
         ranged = (
-            valued.withColumn("_hash", F.xxhash64(*keys))
-            .join(F.broadcast(hashes), "_hash", "left")
-            .withColumn("_range", F.when(F.col("_hot"), _range_of(seq, width)))
-            .drop("_hash", "_hot")
+            valued.withColumn("_hash", _hash_of(keys, seq))
+            .join(F.broadcast(cuts), "_hash", "left")
+            .withColumn("_range", F.when(F.col("_cuts").isNotNull(), passed))
+            .drop("_hash", "_cuts")
         )
-    else:
-        ranged = valued.withColumn("_range", no_range)
 
     seq_order = F.col(seq).desc() if backward else F.col(seq).asc()
     within_range = (
@@ -106,14 +106,15 @@ def carry(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     inside = F.last("_value", ignorenulls=True).over(within_range)
-    if keys and not hot:
-        carried = ranged.withColumn(name, inside)
-    else:
+    carried = ranged.withColumn(name, inside)
+    if cuts is not None:
         entering = _entering(ranged, keys, seq, backward)
+        same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
+        same.append(F.col("_range") == F.col("_into"))
         carried = (
-            ranged.join(entering.hint("shuffle_hash"), [*keys, "_range"], "left")
-            .withColumn(name, F.coalesce(inside, F.col("_entering")))
-            .drop("_entering")
+            carried.join(entering.hint("shuffle_hash"), reduce(lambda a, b: a & b, same), "left")
+            .withColumn(name, F.coalesce(name, "_entering"))
+            .drop("_entering", "_into", *[f"_of_{key}" for key in keys])
         )
     if initial is not None:
         carried = carried.where(~F.col("_given")).drop("_given")
@@ -136,5 +137,7 @@ def _entering(ranged: DataFrame, keys: Sequence[str], seq: str, backward: bool)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return summary.select(
-        *keys, "_range", F.last("_value", ignorenulls=True).over(over_ranges).alias("_entering")
+        *[F.col(key).alias(f"_of_{key}") for key in keys],
+        F.col("_range").alias("_into"),
+        F.last("_value", ignorenulls=True).over(over_ranges).alias("_entering"),
     )

@@ -50,10 +50,20 @@ def form_violations(
     spread: str = "id",
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """One row per form and broken template field; none for a valid form."""
+    """One row per form and broken template field; none for a valid form alone.
+
+    A form of an unknown template has one row, with the reason `unknown_template`.
+    """
     joined = _with_template(forms, templates, keys, spread, limit)
     broken = violations(F.col("template_fields"), F.col("fields"))
-    return joined.select(*keys, "id", F.inline(broken))
+    none = F.lit(None).cast("string")
+    unknown = F.struct(
+        none.alias("field"),
+        none.alias("expected"),
+        none.alias("found"),
+        F.lit("unknown_template").alias("reason"),
+    )
+    return joined.select(*keys, "id", F.inline(F.coalesce(broken, F.array(unknown))))
 
 
 def accept_forms(

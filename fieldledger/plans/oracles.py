@@ -162,7 +162,7 @@ _MIXED_FORM_OUTCOMES = _decide(
 _TURN_ACTION = """CASE WHEN turn % 5 = 0 OR (turn % 5 = 3 AND role = 'assistant') THEN 'Add'
     WHEN turn % 5 = 4 THEN 'Delete' ELSE 'Edit' END"""
 _TURNS = f"""turns AS (
-  SELECT 'conv_' || CAST(conv_id AS VARCHAR) AS key, (conv_id * 1000 + turn) * 4 + 1 AS seq,
+  SELECT 'conv_' || CAST(conv_id AS VARCHAR) AS key, ((conv_id + turn) * (conv_id + turn + 1) // 2 + turn) * 4 + 1 AS seq,
     {_TURN_ACTION} AS action, turn, role FROM conversations)"""
 _TURN_OUTCOMES = _decide("turn_outcomes", "turns", "key")
 _PAGE_ACTION = """CASE WHEN page_id % 8 IN (0, 2, 6) THEN 'Add'
@@ -178,7 +178,9 @@ _OUTCOMES = """outcomes AS (
   UNION ALL SELECT seq * 4, 'Form', template, generation * 4, key, action, accepted, reject_reason
   FROM form_outcomes
   UNION ALL SELECT seq, 'Schedule', NULL, NULL, key, action, accepted, reject_reason FROM turn_outcomes
-  UNION ALL SELECT seq, 'Bytes', NULL, NULL, key, action, accepted, reject_reason FROM page_outcomes)"""
+  UNION ALL SELECT seq, 'Bytes', NULL, NULL, key, action, accepted, reject_reason FROM page_outcomes
+  UNION ALL SELECT page_id * 4 + 3, CASE WHEN page_id % 2 = 0 THEN 'Video' END, NULL, NULL, url, 'Add', false,
+    'bad_mutation' FROM pages)"""
 _MIXED_BATCH = (
     _TEMPLATE_MUTATIONS,
     _TEMPLATE_OUTCOMES,
@@ -290,7 +292,8 @@ FROM (SELECT *, {_K} AS k FROM events)""",
     + f"""SELECT template, id, 'score' AS field, 'Number' AS expected, 'Rating' AS found,
   'type_mismatch' AS reason FROM forms WHERE {_KNOWN} AND event_id % 19 = 0
 UNION ALL SELECT template, id, 'note', 'ShortText', NULL, 'missing'
-FROM forms WHERE {_KNOWN} AND event_id % 17 = 0""",
+FROM forms WHERE {_KNOWN} AND event_id % 17 = 0
+UNION ALL SELECT template, id, NULL, NULL, NULL, 'unknown_template' FROM forms WHERE NOT ({_KNOWN})""",
     "validate_rejects": _with(_FORMS)
     + f"""SELECT template, id,
   CASE WHEN {_KNOWN} THEN 'breaks_template' ELSE 'unknown_template' END AS reject_reason
@@ -321,9 +324,9 @@ FROM history WHERE action <> 'Delete'""",
     + """SELECT l.template, generation, key, seq FROM live l
 JOIN spans s ON l.template = s.template AND l.generation = s.seq_from WHERE s.seq_to IS NULL""",
     "forms_submit": _with(_FORMS, f"faults AS (SELECT *, {_FAULT} AS fault FROM forms)")
-    + f"""SELECT event_id + 1000 AS seq, template, CAST(ascii(template) AS BIGINT) AS generation,
-  {_uuid('record', 'event_id + 1000')} AS key,
-  CASE WHEN fault IS NULL THEN {_uuid('record', 'event_id + 1000')} END AS id,
+    + f"""SELECT event_id * 2 + 1 AS seq, template, 2 * min(event_id) OVER (PARTITION BY template) AS generation,
+  {_uuid('record', 'event_id * 2 + 1')} AS key,
+  CASE WHEN fault IS NULL THEN {_uuid('record', 'event_id * 2 + 1')} END AS id,
   fault IS NULL AND {_VALID} AS accepted,
   CASE WHEN fault IS NOT NULL THEN fault WHEN NOT ({_VALID}) THEN 'breaks_template' END AS reject_reason
 FROM faults""",
@@ -331,6 +334,7 @@ FROM faults""",
     "mixed_change_log": _MIXED_LOG_SQL,
     "ledger_outcomes": _OUTCOME_SQL,
     "ledger_change_log": _MIXED_LOG_SQL,
+    "ledger_feed_stream": _MIXED_LOG_SQL,
     "ledger_forms": _with(
         *_MIXED_BATCH[:5], _current("live", "form_outcomes", _GENERATION_KEYS), _FORMS
     )
@@ -374,6 +378,19 @@ WHERE h.action <> 'Delete'""",
     "store_blobs": """SELECT url AS key, sha256(url) AS key_sha256, sha256(html) AS payload_sha256
 FROM pages""",
     "store_log": _DECODED_LOG_SQL,
+    "artifact_locations": _with(
+        _MUTATIONS, _DECIDED, _HISTORY, *_CASCADE[:3], _TURNS, _TURN_OUTCOMES,
+        """turn_history AS (SELECT *, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS superseded_by
+  FROM turn_outcomes WHERE accepted)""",
+        f"""versions AS (
+  SELECT 'Bytes' AS kind, 'bytes' AS folder, key, seq, superseded_by FROM history WHERE action <> 'Delete'
+  UNION ALL SELECT 'Schedule', 'schedules', key, seq, superseded_by FROM turn_history WHERE action <> 'Delete'
+  UNION ALL SELECT 'Template', 'templates', template, seq_from, seq_to FROM spans)""",
+    )
+    + f"""SELECT kind, key, seq, folder || '/' || sha256(key) || '.'
+  || coalesce({_uuid('version', 'superseded_by')}, 'current') AS path FROM versions""",
+    "file_inventory": """SELECT sha256(url) || '.current' AS file, 8 + strlen(url) + strlen(html) AS length
+FROM pages""",
     "store_lists": """SELECT DISTINCT 'template' AS kind, event_type AS name FROM events
 UNION ALL SELECT DISTINCT 'schedule', 'conv_' || CAST(conv_id AS VARCHAR) FROM conversations""",
 }

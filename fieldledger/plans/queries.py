@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -363,8 +364,8 @@ def schedule_mutations(spark, sf_dir):
 
 @register
 def schedules_current(spark, sf_dir):
-    accepted = _decided_schedules(spark, sf_dir).where("accepted")
-    current = history.current_state(accepted, ["key"])
+    accepted = _staged(spark, _decided_schedules(spark, sf_dir).where("accepted"), "accepted")
+    current = history.current_state_stored(accepted, ["key"])
     return _shifts(current.select("key", "seq", "schedule.shifts"), "key", "seq")
 
 
@@ -377,7 +378,7 @@ def blob_mutations(spark, sf_dir):
 @register
 def blobs_current(spark, sf_dir):
     accepted = decide_blobs(_of_kind(spark, sf_dir, "Bytes")).where("accepted")
-    current = history.current_state(accepted, ["key"])
+    current = history.current_state_stored(_staged(spark, accepted, "accepted"), ["key"])
     return current.select("key", "seq", F.sha2("payload", 256).alias("payload_sha256"))
 
 
@@ -471,8 +472,20 @@ def ledger_change_log(spark, sf_dir):
 
 @register
 def ledger_forms(spark, sf_dir):
-    forms = _committed(spark, sf_dir).forms()
-    return flat_forms(forms, "generation")
+    """Read from the current-state table that follows the commits."""
+    ledger = _committed(spark, sf_dir)
+    ledger.snapshot()
+    return flat_forms(ledger.forms(), "generation")
+
+
+@register
+def ledger_feed_stream(spark, sf_dir):
+    """The log files that the commits published, followed by a stream, read back."""
+    ledger, out = _committed(spark, sf_dir), new_scratch(spark, "feed")
+    change_feed.follow(
+        spark, f"{ledger.root}/change_log", f"{out}/entries", f"{out}/cursor"
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/entries")
 
 
 # Change feed
@@ -561,9 +574,24 @@ def artifact_location(spark, sf_dir):
 
 
 @register
-def file_inventory(spark, sf_dir):
-    files = record_store.file_inventory(spark, sf_dir)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+def artifact_locations(spark, sf_dir):
+    """Where each version of each blob, schedule and template lies, live or archived."""
+    schedules = _staged(spark, _decided_schedules(spark, sf_dir).where("accepted"), "schedules")
+    versions = {
+        "Bytes": _staged(spark, _accepted(spark, sf_dir), "accepted"),
+        "Schedule": schedules,
+        "Template": _accepted_templates(spark, sf_dir).withColumnRenamed("template", "key"),
+    }
+    rows = [
+        history.version_history(accepted, ["key"]).select(
+            F.lit(kind).alias("kind"),
+            "key",
+            "seq",
+            location(F.lit(kind), F.col("key"), F.col("version_id")).alias("path"),
+        )
+        for kind, accepted in versions.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 # Stores of one file per record
@@ -599,6 +627,14 @@ def store_blobs(spark, sf_dir):
     return blobs.select("key", "key_sha256", F.sha2("payload", 256).alias("payload_sha256"))
 
 
+@register
+def file_inventory(spark, sf_dir):
+    """Names and sizes of the files of a store's blobs, their contents never read."""
+    root = _exported(spark, blobs=views.blobs(spark, sf_dir))
+    files = record_store.file_inventory(spark, root, recursive=True)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+
+
 @register
 def store_log(spark, sf_dir):
     """The log written as lines, then read back and numbered by line."""

@@ -16,6 +16,7 @@ VALUE_TAGS = {
 UNIT_FIELD_KINDS = ("Title", "CheckBox", "Number", "ShortText", "LongText")
 ACTIONS = ("Add", "Delete", "Edit")
 UNIT_LOG_KINDS = ("Bytes", "Schedule", "Template")
+KINDS = ("Form", *UNIT_LOG_KINDS)
 
 _TAG_TYPES = {"BOOLEAN": T.BooleanType(), "BIGINT": T.LongType(), "STRING": T.StringType()}
 

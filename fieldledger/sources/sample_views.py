@@ -220,20 +220,21 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def form_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every form document as an Add, after the Adds of the templates."""
+    """Every form document as an Add, behind the Add of its template."""
     none = F.lit(None)
-    names = templates(spark, sf_dir)
-    definitions = names.select(
-        F.ascii("name").cast("bigint").alias("seq"),
+    firsts = events(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(
+        (F.min("event_id") * 2).alias("seq")
+    )
+    definitions = templates(spark, sf_dir).join(firsts, "name").select(
+        "seq",
         F.lit("Template").alias("kind"),
         none.cast("string").alias("template"),
         F.col("name").alias("key"),
         F.lit("Add").alias("action"),
         template_json(F.col("name"), F.col("year"), F.col("fields")).alias("doc"),
     )
-    first = F.lit(1000).cast("bigint")
     adds = form_documents(spark, sf_dir).select(
-        (F.col("event_id") + first).alias("seq"),
+        (F.col("event_id") * 2 + 1).alias("seq"),
         F.lit("Form").alias("kind"),
         "template",
         F.lit("from the client").alias("key"),
@@ -298,6 +299,9 @@ def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schedule_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as a mutation of the schedule of its conversation."""
     turn = F.col("turn")
+    both = F.col("conv_id") + turn
+    # Pairs of numbers in the order of their sum: unique, and rising along a conversation.
+    seq = F.call_function("div", both * (both + 1), F.lit(2)) + turn
     action = (
         F.when((turn % 5 == 0) | ((turn % 5 == 3) & (F.col("role") == "assistant")), F.lit("Add"))
         .when(turn % 5 == 4, F.lit("Delete"))
@@ -305,7 +309,7 @@ def schedule_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("key"),
-        (F.col("conv_id") * 1000 + turn).alias("seq"),
+        seq.alias("seq"),
         action.alias("action"),
         turn,
         "role",
@@ -404,7 +408,18 @@ def ledger_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload",
         F.timestamp_seconds(F.lit(1704067200) + F.col("seq")).alias("committed_at"),
     )
-    merged = from_events.unionByName(from_turns).unionByName(from_pages)
+    # Mutations of no known kind, which are refused.
+    from_nowhere = table(spark, sf_dir, "pages").select(
+        (F.col("page_id") * 4 + 3).alias("seq"),
+        F.when(F.col("page_id") % 2 == 0, F.lit("Video")).alias("kind"),
+        none.alias("template"),
+        F.col("url").alias("key"),
+        F.lit("Add").alias("action"),
+        none.alias("doc"),
+        F.lit(None).cast("binary").alias("payload"),
+        F.lit(None).cast("timestamp").alias("committed_at"),
+    )
+    merged = from_events.unionByName(from_turns).unionByName(from_pages).unionByName(from_nowhere)
     return merged.withColumns(
         {"doc": F.when(writes, F.col("doc")), "payload": F.when(writes, F.col("payload"))}
     )

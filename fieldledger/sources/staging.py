@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 Stage = Callable[[DataFrame, str], DataFrame]
 
@@ -23,3 +23,9 @@ def stage_in(folder: str) -> Stage:
         return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
     return stage
+
+
+def drop_staged(spark: SparkSession, folder: str) -> None:
+    """Removes what `stage_in` wrote below a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

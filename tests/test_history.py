@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldledger.operators import cascade, history
-from fieldledger.operators.ordered import carry, find_hot_keys
+from fieldledger.operators.ordered import RANGE_WIDTH, carry, range_cuts
 from model import apply_sequentially, apply_with_templates
 
 QUIET = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -76,9 +76,33 @@ def test_deleted_records_stay_deleted(spark):
     assert history.current_state_stored(accepted, ["key"]).count() == 0
 
 
-def test_rows_without_key_are_kept(spark):
-    rows = [(0, None, "Add"), (1, "k", "Add"), (2, None, "Edit")]
-    assert history.accept_mutations(frame(spark, rows), ["key"]).count() == 3
+@pytest.mark.parametrize("stride", [1, 1 << 20])
+@pytest.mark.parametrize("width", [1, 2, 50, RANGE_WIDTH])
+def test_results_do_not_depend_on_width_or_gaps(spark, width, stride):
+    actions = ["Add", "Edit", "Edit", "Delete", "Add"] * 12
+    rows = [(i * stride, key, a) for key in (None, "k") for i, a in enumerate(actions)]
+    rows += [(i * stride, f"k{i}", "Add") for i in range(20)]
+    decided = history.accept_mutations(frame(spark, rows), ["key"], width=width)
+    flags = {(r.key, r.seq // stride): r.accepted for r in decided.collect()}
+    assert all(flags.pop((f"k{i}", i)) for i in range(20))
+    # Null keys are one key. A round's first Add meets the record that the last round left.
+    assert flags == {(key, i): i == 0 or i % 5 > 0 for key in (None, "k") for i in range(60)}
+    versions = history.version_history(decided.where("accepted"), ["key"], width=width)
+    followed = {(r.key, r.seq // stride): r.superseded_by for r in versions.collect()}
+    assert followed[(None, 56)] == 57 * stride and followed[(None, 59)] is None
+
+
+@pytest.mark.parametrize("stride", [1, 1 << 20])
+def test_ranges_follow_the_number_of_rows(spark, stride):
+    rows = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id < 600 THEN 'warm' ELSE 'k' || id END AS key",
+        f"id * {stride} AS seq",
+    )
+    cuts = {r._hash: r._cuts for r in range_cuts(rows, ["key"], "seq", 100).collect()}
+    hashes = dict(map(tuple, rows.select("key", F.xxhash64("key")).distinct().collect()))
+    assert set(cuts) == {hashes["hot"], hashes["warm"]}
+    assert len(cuts[hashes["hot"]]) == 15 and len(cuts[hashes["warm"]]) == 3
+    assert range_cuts(rows, ["key"], "seq", 2000) is None
 
 
 @pytest.mark.parametrize("backward", [False, True])
@@ -146,13 +170,6 @@ def test_new_ids_replace_client_ids(spark):
     assert out[1] != "mine" and out[2] == "mine"
 
 
-def test_hot_keys_are_found(spark):
-    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE 'k' || id END AS key")
-    expected = rows.where("key = 'hot'").select(F.xxhash64("key")).first()[0]
-    assert find_hot_keys(rows, ["key"], 100) == [expected]
-    assert find_hot_keys(rows, ["key"], 2000) == []
-
-
 def test_even_keys_take_one_shuffle(spark, plan):
     rows = frame(spark, [(i, f"k{i % 9}", "Add") for i in range(90)])
     assert plan(history.accept_mutations(rows, ["key"])).count("Exchange hashpartitioning") == 1

@@ -12,8 +12,7 @@ def connection(sf_dir):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"file_inventory"}
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_all_queries_are_registered():
@@ -32,7 +31,3 @@ def test_query_equals_sql(spark, sf_dir, connection, name, plan):
     text = plan(result)
     for node in ("EvalPython", "MapIn", "CartesianProduct", "NestedLoop"):
         assert node not in text
-
-
-def test_file_inventory(spark, sf_dir):
-    assert QUERIES["file_inventory"](spark, sf_dir).count() == 14

@@ -1,18 +1,16 @@
 import pytest
 from pyspark.sql import functions as F
 
-
 from fieldledger.functions.fields import field_value, template_field
 from fieldledger.operators import lookup, query, validate
 from fieldledger.operators.joins import join_small
 from fieldledger.sources import sample_views as views
-from fieldledger.sources.ledger import write_forms_snapshot, write_keyed_snapshot
 
 
 @pytest.fixture(scope="module")
 def stored_forms(spark, sf_dir, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("forms") / "snapshot")
-    write_forms_snapshot(views.forms(spark, sf_dir), path)
+    views.forms(spark, sf_dir).write.partitionBy("template").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -39,7 +37,7 @@ def test_filter_reaches_the_scan(stored_forms, plan):
 
 
 def test_blob_listing_leaves_payloads_alone(spark, sf_dir, tmp_path, plan):
-    write_keyed_snapshot(views.blobs(spark, sf_dir), "key", str(tmp_path / "blobs"))
+    views.blobs(spark, sf_dir).write.parquet(str(tmp_path / "blobs"))
     blobs = spark.read.parquet(str(tmp_path / "blobs"))
     assert "ReadSchema: struct<key:string>" in plan(query.list_blobs(blobs))
     text = plan(lookup.get_record(blobs, key="x").select("payload"))
