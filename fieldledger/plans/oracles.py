@@ -388,7 +388,8 @@ FROM pages""",
   UNION ALL SELECT 'Template', 'templates', template, seq_from, seq_to FROM spans)""",
     )
     + f"""SELECT kind, key, seq, folder || '/' || sha256(key) || '.'
-  || coalesce({_uuid('version', 'superseded_by')}, 'current') AS path FROM versions""",
+  || CASE WHEN superseded_by IS NULL THEN 'current' ELSE {_uuid('version', 'superseded_by')} END AS path
+FROM versions""",
     "file_inventory": """SELECT sha256(url) || '.current' AS file, 8 + strlen(url) + strlen(html) AS length
 FROM pages""",
     "store_lists": """SELECT DISTINCT 'template' AS kind, event_type AS name FROM events
