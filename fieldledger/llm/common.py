@@ -54,6 +54,15 @@ def on_workers(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys together and in a row, over all tasks that the session allows.
+
+    The number is given, as Python work costs more than the bytes by which tasks are merged.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys)
+
+
 def map_batches(
     rows: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:

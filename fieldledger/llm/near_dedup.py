@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import blocks_of, free_name, map_batches, on_workers, staged, table, whole_text
+from fieldledger.llm.common import blocks_of, dealt, free_name, map_batches, on_workers, staged, table, whole_text
 from fieldledger.llm.components import components
 from fieldledger.llm.shingles import shingle_sets
 
@@ -238,9 +238,8 @@ def links_of_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
                 a, b = zip(*links, strict=True)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = rows.select(*keys, "node", "label", "left", "registers", "shingles")
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return on_workers(dealt).mapInArrow(work, "a long, b long")
+    rows = rows.select(*keys, "node", "label", "left", "registers", "shingles")
+    return on_workers(dealt(rows, *keys)).mapInArrow(work, "a long, b long")
 
 
 def cut_groups(groups: DataFrame, chunk: int) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import blocks_of, map_batches, on_workers, staged, table
+from fieldledger.llm.common import blocks_of, dealt, map_batches, on_workers, staged, table
 from fieldledger.llm.components import components
 
 COSINE = 0.9
@@ -159,7 +159,7 @@ def list_blocks(rows: DataFrame, block: int) -> DataFrame:
 
     sizes = staged(parts(entries, "entry_parts").join(parts(askers, "asker_parts"), "list"), "vector-sizes")
 
-    def dealt(side: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
+    def crossed(side: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
         part = F.pmod(F.xxhash64("node"), F.col(f"{own}_parts")).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1))
         sized = side.join(sizes, "list")
@@ -167,7 +167,7 @@ def list_blocks(rows: DataFrame, block: int) -> DataFrame:
             "list", "asker_part", "entry_part", F.lit(asks).alias("asks"), *rows.columns
         )
 
-    return dealt(askers, "asker", "entry", True).unionByName(dealt(entries, "entry", "asker", False))
+    return crossed(askers, "asker", "entry", True).unionByName(crossed(entries, "entry", "asker", False))
 
 
 def block_links(block: dict[str, list], index: Index, cosine: float) -> tuple[dict[int, int], list]:
@@ -228,8 +228,7 @@ def links_of_lists(blocks: DataFrame, index: Index, cosine: float) -> DataFrame:
                     names=["a", "b", "links"],
                 )
 
-    dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
-    return staged(on_workers(dealt).mapInArrow(work, "a long, b long, links long"), "vector-links")
+    return staged(on_workers(dealt(blocks, *keys)).mapInArrow(work, "a long, b long, links long"), "vector-links")
 
 
 def vector_components(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
