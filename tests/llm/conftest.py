@@ -1,5 +1,10 @@
+import sys
+from pathlib import Path
+
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, spans string"
 
 
