@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.operators.joins import BROADCAST_BYTES, fits_broadcast
+from fieldledger.session import new_scratch
+from fieldledger.sources.staging import stage_in
 
 
 def get_record(current: DataFrame, **key) -> DataFrame:
@@ -31,7 +33,9 @@ def get_records(
     records are narrowed to them where they are scanned, not after a shuffle.
     """
     keys = list(keys)
-    distinct = wanted.select(*keys).distinct()
+    # Written once; measured, broadcast and joined from there.
+    stage = stage_in(new_scratch(current.sparkSession, "wanted"))
+    distinct = stage(wanted.select(*keys).distinct(), "keys")
     if fits_broadcast(distinct, limit):
         current = current.join(F.broadcast(distinct), keys, "left_semi")
     marked = current.withColumn("found", F.lit(True))

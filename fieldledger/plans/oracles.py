@@ -373,6 +373,7 @@ FROM asked LEFT JOIN log l ON next_seq = l.seq""",
 FROM history h JOIN spans s ON h.template = s.template AND h.generation = s.seq_from
 WHERE h.action <> 'Delete'""",
     "store_forms": _with(_FORMS) + f"SELECT {_FLAT}, n_fields FROM forms",
+    "store_into_ledger": _with(_FORMS) + f"SELECT {_FLAT}, n_fields FROM forms WHERE {_VALID}",
     "store_schedules": _with(_SCHEDULES)
     + "SELECT event, pos, scouter, station, match_start, match_end FROM shifts",
     "store_blobs": """SELECT url AS key, sha256(url) AS key_sha256, sha256(html) AS payload_sha256
