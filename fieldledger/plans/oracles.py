@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from fieldledger.plans.queries import AS_OF, CURSOR_SEQ, FILTER, FORM_ID, TEMPLATE, _cursor
+from fieldledger.plans.queries import (
+    AS_OF,
+    CURSOR_SEQ,
+    FILTER,
+    FORM_ID,
+    LEDGER_TEMPLATE,
+    TEMPLATE,
+    _cursor,
+)
 from fieldledger.sources.sample_views import TEMPLATE_CHANGE_VALUE
 
 
@@ -212,6 +220,14 @@ _VALID = "event_id % 19 <> 0 AND event_id % 17 <> 0"
 _AFTER = f"seq > (SELECT seq FROM log WHERE id = '{_cursor(CURSOR_SEQ)}')"
 _LOG_CTES = (_MUTATIONS, _DECIDED, _LOG)
 
+_LEDGER_FORMS_SQL = (
+    _with(*_MIXED_BATCH[:5], _current("live", "form_outcomes", _GENERATION_KEYS), _FORMS)
+    + f"""SELECT l.template, l.generation * 4 AS generation, l.key AS id,
+  {", ".join(name for name in _FLAT.split(", ") if name not in ("template", "id"))}, n_fields
+FROM live l JOIN spans s ON l.template = s.template AND l.generation = s.seq_from
+JOIN forms f ON f.event_id = l.seq WHERE s.seq_to IS NULL"""
+)
+
 ORACLES: dict[str, str] = {
     "forms_filter_none": _filter(),
     "forms_filter_event": _filter("event"),
@@ -335,13 +351,9 @@ FROM faults""",
     "ledger_outcomes": _OUTCOME_SQL,
     "ledger_change_log": _MIXED_LOG_SQL,
     "ledger_feed_stream": _MIXED_LOG_SQL,
-    "ledger_forms": _with(
-        *_MIXED_BATCH[:5], _current("live", "form_outcomes", _GENERATION_KEYS), _FORMS
-    )
-    + f"""SELECT l.template, l.generation * 4 AS generation, l.key AS id,
-  {", ".join(name for name in _FLAT.split(", ") if name not in ("template", "id"))}, n_fields
-FROM live l JOIN spans s ON l.template = s.template AND l.generation = s.seq_from
-JOIN forms f ON f.event_id = l.seq WHERE s.seq_to IS NULL""",
+    "ledger_forms": _LEDGER_FORMS_SQL,
+    "ledger_forms_filter": _LEDGER_FORMS_SQL
+    + f" AND l.template = '{LEDGER_TEMPLATE}' AND scouter = '{FILTER['scouter']}'",
     "change_log_entries": _with(*_LOG_CTES) + f"SELECT {_ENTRY} FROM log",
     "sync_first": _with(*_LOG_CTES) + f"SELECT {_ENTRY} FROM log ORDER BY seq LIMIT 1",
     "sync_after": _with(*_LOG_CTES) + f"SELECT {_ENTRY} FROM log WHERE {_AFTER} ORDER BY seq LIMIT 1",
@@ -373,6 +385,10 @@ FROM asked LEFT JOIN log l ON next_seq = l.seq""",
 FROM history h JOIN spans s ON h.template = s.template AND h.generation = s.seq_from
 WHERE h.action <> 'Delete'""",
     "store_forms": _with(_FORMS) + f"SELECT {_FLAT}, n_fields FROM forms",
+    "store_forms_of_one": _with(_FORMS)
+    + f"SELECT {_FLAT}, n_fields FROM forms WHERE template = '{TEMPLATE}'",
+    "store_schedules_strict": _with(_SCHEDULES)
+    + "SELECT event, pos, scouter, station, match_start, match_end FROM shifts",
     "store_into_ledger": _with(_FORMS) + f"SELECT {_FLAT}, n_fields FROM forms WHERE {_VALID}",
     "store_schedules": _with(_SCHEDULES)
     + "SELECT event, pos, scouter, station, match_start, match_end FROM shifts",

@@ -43,6 +43,7 @@ QUERIES: dict[str, Query] = {}
 # Parameters of the filter and cursor queries, shared with their SQL.
 FILTER = {"event": "20240101", "scouter": "scouter_7", "match_number": 3, "team": 7}
 TEMPLATE = "view"
+LEDGER_TEMPLATE = "t1"
 FORM_ID = "3"
 CURSOR_SEQ = 5
 AS_OF = "2024-02-01 00:00:00"
@@ -478,6 +479,15 @@ def ledger_forms(spark, sf_dir):
     return flat_forms(ledger.forms(), "generation")
 
 
+@register
+def ledger_forms_filter(spark, sf_dir):
+    """A filter on the current-state table, which reads one template's folder."""
+    ledger = _committed(spark, sf_dir)
+    ledger.snapshot()
+    rows = query.filter_forms(ledger.forms(), LEDGER_TEMPLATE, scouter=FILTER["scouter"])
+    return flat_forms(rows, "generation")
+
+
 @register
 def ledger_feed_stream(spark, sf_dir):
     """The log files that the commits published, followed by a stream, read back."""
@@ -613,6 +623,24 @@ def store_forms(spark, sf_dir):
     return flat_forms(record_store.import_forms(record_store.read_forms(spark, root), templates))
 
 
+@register
+def store_forms_of_one(spark, sf_dir):
+    """The live forms of one template, read from its folder alone."""
+    root = _exported(
+        spark, forms=views.forms(spark, sf_dir), templates=views.templates(spark, sf_dir)
+    )
+    templates = record_store.read_templates(spark, root)
+    return flat_forms(record_store.import_forms(record_store.read_forms(spark, root, TEMPLATE), templates))
+
+
+@register
+def store_schedules_strict(spark, sf_dir):
+    """Schedules read so that one unreadable file would fail the job."""
+    root = _exported(spark, schedules=views.schedules(spark, sf_dir))
+    rows = record_store.accepted_records(record_store.read_schedules(spark, root), strict=True)
+    return _shifts(rows.select("record.*"), "event")
+
+
 @register
 def store_into_ledger(spark, sf_dir):
     """The live records of a store committed as one batch; forms that break their template stay out."""
