@@ -4,8 +4,9 @@ A text of up to `CHUNK` characters is encoded where it lies. A longer one is cut
 that reach `OVERLAP` characters into their successor; the chunks spread over the cluster
 and are pre-tokenised on their own. The pattern looks ahead only, so two neighbours that
 share one boundary in the overlap agree on all that follows: the text is cut there, behind a
-character that is no white space, and the pieces are encoded in parallel. Decoding turns the ids of each piece into raw bytes and
-concatenates these, so a character split between ids comes back whole.
+character that is no white space, and the pieces are encoded in parallel. Decoding turns the
+ids of each piece into raw bytes and concatenates these, so a character split between ids
+comes back whole.
 
 A neighbour without a common boundary in the overlap (one run longer than it) is glued to
 its predecessor, as is all that follows in that text, and the glued part is one piece.

@@ -15,7 +15,7 @@ repeated rows are scanned row by row; a null id stays null. The score of a text
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -135,12 +135,12 @@ def compile_template(label: str, template: str) -> Automaton:
                     needed.add(word)
     if opened:
         raise ValueError(f"open region in the template of {label}")
-    empty = Automaton(label, tuple(words), tuple(tuple(skips.get(i, ())) for i in range(len(words) + 1)), frozenset(), frozenset())
-    reached = empty.closure({0: 0})
+    over = tuple(tuple(skips.get(i, ())) for i in range(len(words) + 1))
+    automaton = Automaton(label, tuple(words), over, frozenset(), frozenset(needed))
+    reached = automaton.closure({0: 0})
     if len(words) in reached or any(None in words[state] for state in reached):
         raise ValueError(f"the template of {label} must begin with a word")
-    first = frozenset(word for state in reached for word in words[state])
-    return Automaton(label, empty.words, empty.skips, first, frozenset(needed))
+    return replace(automaton, first=frozenset(word for state in reached for word in words[state]))
 
 
 @lru_cache(maxsize=4)
