@@ -69,16 +69,21 @@ def mark_copies(docs: DataFrame, hash_of=content_hash) -> DataFrame:
 
 def drop_copies(docs: DataFrame, hash_of=content_hash) -> DataFrame:
     """The documents that stay, in their own columns; one row of those that repeat an id."""
-    digest, keep = free_name(docs, "text_sha256"), free_name(docs, "keep_id")
+    # Plain keys, so that the join's partitions also serve to drop repeated rows.
+    key, digest = free_name(docs, "doc_key"), free_name(docs, "text_sha256")
     kept = copy_groups(docs, hash_of).select(
-        F.col("keep_id").alias(keep), F.col("text_sha256").alias(f"{digest}_kept")
+        _key(F.col("keep_id")).alias(key), F.col("text_sha256").alias(digest)
     )
-    rows = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
-    same = rows["doc_id"].eqNullSafe(kept[keep]) & (rows[digest] == kept[f"{digest}_kept"])
-    found = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", digest])
+    rows = docs.withColumns({key: _key(F.col("doc_id")), digest: F.sha2(normalised(F.col("text")), 256)})
+    found = rows.join(kept, [key, digest], "left_semi").dropDuplicates([key, digest])
     return found.select(*docs.columns)
 
 
+def _key(doc_id: Column) -> Column:
+    """The id as text; a null id is the empty text, which no id is."""
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents"))
 
