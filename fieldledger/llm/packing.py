@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.llm.bpe import RANKS
 from fieldledger.llm.common import on_workers, table, whole_text
-from fieldledger.llm.word_ids import batch_ids
+from fieldledger.llm.word_ids import all_ids
 
 END_ID = 1
 SEQUENCES_PER_TASK = 1 << 40
@@ -192,7 +192,7 @@ def pack_examples(
         packer = Packer(limits, TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
         for batch in batches:
             doc_ids, begin = batch.column("doc_id").to_pylist(), batch.column("loss_from").to_pylist()
-            ids = batch_ids(batch.column("text"), ranks_path)
+            ids = all_ids(batch.column("text"), ranks_path)
             for doc_id, own, first in zip(doc_ids, ids, begin, strict=True):
                 whole = np.append(own, np.uint32(END_ID))
                 packer.add(Example(doc_id, whole, first))

@@ -8,6 +8,7 @@ front of a space are encoded whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,6 +23,9 @@ RUN = (
     "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
 )
 
+# Text encoded at a time; bounds the memory of a task, a longer text goes alone.
+SLICE_BYTES = 8 << 20
+
 
 def encode_all(texts: list[str], ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and the number of ids of each."""
@@ -39,8 +43,19 @@ def _gather(flat: np.ndarray, counts: np.ndarray, picks: np.ndarray) -> np.ndarr
     return flat[shift + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def all_ids(texts: pa.Array, ranks_path: str) -> Iterator[np.ndarray]:
+    """The ids of each text of a batch without nulls, a few megabytes of text at a time."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        yield from batch_ids(texts.slice(start, stop - start), ranks_path)
+        start = stop
+
+
 def batch_ids(texts: pa.Array, ranks_path: str) -> list[np.ndarray]:
-    """The ids of each text of a batch without nulls."""
+    """The ids of each text, all held at once."""
     split = pc.invert(pc.match_substring_regex(texts, RUN)).to_numpy(zero_copy_only=False)
     found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
     rest = np.flatnonzero(~split)

@@ -7,8 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fieldledger.llm import bpe
-from fieldledger.llm.word_ids import batch_ids
+from fieldledger.llm import bpe, word_ids
 
 RANKS = public_tokenizers.path(bpe.RANKS)
 PARTS = [" ", "  ", "\n", "\t", "a", "word", "'s", "'", "12", "!!", "é", "　", "\xa0", "漢字", "😀", "'ll", "don't"]
@@ -55,9 +54,11 @@ def test_empty_table(make_docs):
     assert bpe.token_digests(make_docs([]), RANKS).count() == 0
 
 
-def test_word_ids_equal_the_tokenizer():
+@pytest.mark.parametrize("slice_bytes", [1, 500, 8 << 20])
+def test_word_ids_equal_the_tokenizer(monkeypatch, slice_bytes):
+    monkeypatch.setattr(word_ids, "SLICE_BYTES", slice_bytes)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
     texts = [text or "" for text in TEXTS] + ["<|endoftext|> as text"]
     want = [found.ids for found in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [ids.tolist() for ids in batch_ids(pa.array(texts), RANKS)] == want
+    assert [ids.tolist() for ids in word_ids.all_ids(pa.array(texts), RANKS)] == want
