@@ -3,8 +3,8 @@
 Every text is scanned once for base spans of three kinds and for further long mixed tokens.
 The values' hashes are counted over the whole corpus by distinct repositories and owners,
 first per value, repository and owner, so that a value copied into a third of all texts is
-summed where it is read. A value that `SHARED_OWNERS` owners or more hold is an example that
-people copy; one of fewer owners looks live. Base spans always stay in the result; a further
+summed where it is read. A value that `SHARED_OWNERS` owners or `SHARED_REPOSITORIES`
+repositories or more hold is an example that people copy; any other looks live. Base spans always stay in the result; a further
 token is added, as kind `owned`, if it looks live.
 
 Defined results: a null text is empty and has no spans; a null owner or repository is one of
@@ -38,7 +38,7 @@ KINDS = ("assign", "access", "hex", "owned")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 LEAST_DIGITS, LEAST_LETTERS, LEAST_BITS = 3, 3, 3.0
 
-SHARED_OWNERS = 3
+SHARED_OWNERS, SHARED_REPOSITORIES = 3, 4
 MARK = "[REDACTED]"
 
 FOUND = "array<struct<start: int, kind: int, end: int, value: long>>"
@@ -140,12 +140,14 @@ def ownership(spans: DataFrame) -> DataFrame:
     )
 
 
-def judged_documents(scanned: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def judged_documents(
+    scanned: DataFrame, shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES
+) -> DataFrame:
     """`row` and its sorted `spans`, each with whether it looks live."""
     spans = scanned.select("row", "owner", "repository", F.inline("found"))
     # Written, so that a value of very many spans is split like any skewed join key.
     owned = staged(ownership(spans), "secret-owners")
-    live = F.col("owners") < shared_owners
+    live = (F.col("owners") < shared_owners) & (F.col("repositories") < shared_repositories)
     base = F.col("kind") < KINDS.index("owned")
     judged = spans.join(owned, "value").where(base | live)
     return judged.groupBy("row").agg(
@@ -155,11 +157,15 @@ def judged_documents(scanned: DataFrame, shared_owners: int = SHARED_OWNERS) ->
 
 
 def find_secrets(
-    docs: DataFrame, owner: Column, repository: Column, shared_owners: int = SHARED_OWNERS
+    docs: DataFrame,
+    owner: Column,
+    repository: Column,
+    shared_owners: int = SHARED_OWNERS,
+    shared_repositories: int = SHARED_REPOSITORIES,
 ) -> DataFrame:
     """Every document with its counts of base spans, their digest, and all its spans."""
     scanned = scan_documents(docs, owner, repository)
-    judged = judged_documents(scanned, shared_owners)
+    judged = judged_documents(scanned, shared_owners, shared_repositories)
     names = F.array(*[F.lit(kind) for kind in KINDS])
     written = F.transform(
         "spans", lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])

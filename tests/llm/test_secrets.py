@@ -53,6 +53,17 @@ def test_ownership_tells_live_from_copied(make_docs):
     assert {r.spans for r in rows if r.doc_id == 9} == {"owned:0:24"}
 
 
+def test_values_copied_within_one_owner_are_examples(make_docs):
+    copied, own = "ghp_a1B2c3D4e5F6g7H8i9J0", "ghp_z9Y8x7W6v5U4t3S2r1Q0"
+    rows = [(i, f"use {copied} here", "a") for i in range(8)] + [(i, f"use {own} here", "a") for i in range(8, 14)]
+    repository = F.concat_ws("/", "source", F.when(F.col("doc_id") < 8, F.col("doc_id") % 4).otherwise(F.col("doc_id") % 3))
+    got = {r.doc_id: (r.spans, r.n_live) for r in find_secrets(make_docs(rows), F.col("source"), repository).collect()}
+    assert all(got[i] == ("", 0) for i in range(8))
+    assert all(got[i] == ("owned:4:28", 1) for i in range(8, 14))
+    kept = {r.doc_id: r.text for r in redact(make_docs(rows), F.col("source"), repository).collect()}
+    assert kept[0] == f"use {copied} here" and kept[8] == f"use {MARK} here"
+
+
 def test_redaction_keeps_columns_and_copied_examples(make_docs):
     docs = make_docs(ROWS)
     rows = redact(docs, F.col("source"), F.lit("r"))
