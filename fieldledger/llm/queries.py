@@ -9,6 +9,7 @@ from fieldledger.llm import (
     near_dedup,
     packing,
     passages,
+    phrases,
     quality,
     secrets,
     url_filter,
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_embedding_near_dedup": vectors.op8_embedding_near_dedup,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
+    "op11_phrases": phrases.op11_phrases,
 }
 
 ORACLES = {
     "op4_url_filter": url_filter.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op11_phrases": phrases.OP11_SQL,
 }
