@@ -18,7 +18,7 @@ alone, in exact decimals.
 
 Defined results: null texts are empty and have no words; texts without words add nothing; a null
 language is `und`; repeated rows and ids count each time; texts of any length are read whole, about
-16 MB of text at a time; ties go to the smallest phrase in the order of its UTF-8 bytes; other columns
+4 MB of text at a time; ties go to the smallest phrase in the order of its UTF-8 bytes; other columns
 are not read; without rows there are no phrases.
 """
 
@@ -41,7 +41,7 @@ from fieldledger.llm.common import blocks_of, dealt, map_batches, on_workers, st
 UNKNOWN = "und"
 # Where pieces of a text end; RE2 and Java read it alike.
 ENDS = r"[.,;:!?\n-\r]"
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 COUNTS = "lang string, phrase string, words int, a long"
 COUNTS_ARROW = pa.schema(
     [("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("a", pa.int64())]
@@ -83,7 +83,7 @@ class Words:
         """The first, second and further words of the suffix at each place; 0 behind its end."""
         found = [self.codes]
         for step in range(1, longest):
-            found.append(np.where(found[-1] > 0, self.ahead(step), 0))
+            found.append(self.ahead(step) * (found[-1] > 0))
         return found
 
     def places_of(self, wanted: list[str]) -> np.ndarray:
@@ -99,7 +99,7 @@ def words_of(lang: str, texts: pa.Array) -> Words:
     coded = pc.list_flatten(pc.split_pattern(ended, " ")).dictionary_encode()
     held = coded.dictionary
     kept = pc.and_(pc.not_equal(held, ""), pc.not_equal(held, "\n")).to_numpy(zero_copy_only=False)
-    renamed = np.where(kept, np.cumsum(kept), 0)
+    renamed = np.where(kept, np.cumsum(kept), 0).astype(np.int32)
     renamed[pc.equal(held, "").to_numpy(zero_copy_only=False)] = -1
     codes = renamed[coded.indices.to_numpy()]
     return Words(lang, codes[codes >= 0], held.filter(pa.array(kept)))
@@ -175,7 +175,7 @@ class Prefixes:
 
     def walk(self, found: Words, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """For each place the deepest node its suffix passes, and the depth of that node."""
-        node, depth = np.zeros(len(found.codes), np.int64), np.zeros(len(found.codes), np.int8)
+        node, depth = np.zeros(len(found.codes), np.int32), np.zeros(len(found.codes), np.int8)
         on = np.arange(len(found.codes))
         for level, (parents, words, children) in enumerate(self.edges):
             codes = found.places_of(words)
@@ -185,7 +185,7 @@ class Prefixes:
             keys, into = keys[order], np.array(children, np.int64)[present][order]
             if not len(keys):
                 break
-            own = node[on] << 32 | columns[level][on]
+            own = node[on].astype(np.int64) << 32 | columns[level][on]
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             hit = keys[at] == own
             on, at = on[hit], at[hit]
@@ -206,7 +206,8 @@ def extensions(docs: DataFrame, trees: dict[str, Prefixes], length: int) -> Data
         large[found.places_of(tree.single_words())] = True
         large[0] = False
         on = np.flatnonzero((depth == length - 1) & large[columns[length - 1]])
-        keys, counts = np.unique(node[on] << 32 | columns[length - 1][on], return_counts=True)
+        ends = node[on].astype(np.int64) << 32 | columns[length - 1][on]
+        keys, counts = np.unique(ends, return_counts=True)
         fronts = pa.array([tree.phrases[i] for i in (keys >> 32).tolist()], pa.string())
         lasts = found.words.take(pa.array((keys & 0xFFFFFFFF) - 1))
         yield counts_batch(found.lang, pc.binary_join_element_wise(fronts, lasts, " "), length, counts)
@@ -239,11 +240,19 @@ def large_prefixes(
 
 def pack_block(columns: list[np.ndarray], fixed: np.ndarray, words: pa.Array) -> bytes:
     """Suffixes as compressed columns of codes of their own words, and these words."""
-    used, codes = np.unique(np.stack(columns), return_inverse=True)
-    kind = np.dtype("<u2" if len(used) < 1 << 16 else "<u4")
-    own = "\n".join(words.take(pa.array(used[used > 0] - 1)).to_pylist()).encode()
+    present = np.zeros(len(words) + 1, bool)
+    for column in columns:
+        present[column] = True
     # Code 0 stays 0, whether or not a suffix of the block ends early.
-    rows = (codes.reshape(len(columns), -1) + (0 if used[0] == 0 else 1)).astype(kind)
+    present[0] = True
+    used = np.flatnonzero(present)
+    kind = np.dtype("<u2" if len(used) < 1 << 16 else "<u4")
+    renamed = np.zeros(len(present), kind)
+    renamed[used] = np.arange(len(used))
+    rows = renamed[np.stack(columns)]
+    taken = words.take(pa.array(used[1:] - 1))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken), "\n")
+    own = joined[0].as_py().encode()
     head = np.array([len(own), rows.shape[1], kind.itemsize], "<i8").tobytes()
     body = head + own + fixed.astype("i1").tobytes() + rows.tobytes()
     return zstandard.ZstdCompressor(level=1).compress(body)
@@ -269,15 +278,16 @@ def deal_suffixes(docs: DataFrame, trees: dict[str, Prefixes], groups: int, long
         columns = found.columns(longest)
         tree = trees.get(found.lang, Prefixes())
         node, depth = tree.walk(found, columns)
-        stacked = np.stack(columns)
-        on = np.flatnonzero((depth < longest) & (columns[1] > 0))
-        on = on[stacked[depth[on], on] > 0]
+        # The last word of the prefix, which is one word longer than the large prefix in front.
+        last = np.select([depth == d for d in range(longest)], columns, 0)
+        on = np.flatnonzero((last > 0) & (columns[1] > 0))
         if not len(on):
             return
         hashes = np.append(np.uint64(0), pd.util.hash_array(found.words.to_numpy(zero_copy_only=False)))
         fronts = pd.util.hash_array(np.array([f"{found.lang} {p}" for p in tree.phrases], object))
-        prefix = hashes[stacked[depth[on], on]] * np.uint64(0x9E3779B97F4A7C15) ^ fronts[node[on]]
+        prefix = hashes[last[on]] * np.uint64(0x9E3779B97F4A7C15) ^ fronts[node[on]]
         own = ((prefix >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+        del hashes, fronts, prefix, last
         order = np.argsort(own << 32 | columns[0][on])
         own, on = own[order], on[order]
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
