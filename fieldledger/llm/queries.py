@@ -11,7 +11,9 @@ from fieldledger.llm import (
     passages,
     phrases,
     quality,
+    repair,
     secrets,
+    shards,
     url_filter,
     vectors,
 )
@@ -28,6 +30,8 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
     "op11_phrases": phrases.op11_phrases,
+    "op12_sharding": shards.op12_sharding,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 ORACLES = {
