@@ -12,7 +12,7 @@ from fieldledger.functions.documents import (
     with_parsed,
 )
 from fieldledger.operators.cascade import FORM_KEYS, SPAN_LIMIT, accept_form_mutations
-from fieldledger.operators.history import assign_record_ids, decide
+from fieldledger.operators.history import LiveKeys, assign_record_ids, decide
 from fieldledger.operators.joins import BROADCAST_BYTES
 from fieldledger.operators.ordered import RANGE_WIDTH
 from fieldledger.schemas import ACTIONS, KINDS
@@ -89,7 +89,7 @@ def _keyed(rows: DataFrame, key: Column) -> DataFrame:
 def decide_templates(
     mutations: DataFrame,
     *,
-    live_keys: DataFrame | None = None,
+    live_keys: LiveKeys = None,
     stage: Stage = unstaged,
     width: int = RANGE_WIDTH,
 ) -> DataFrame:
@@ -102,7 +102,7 @@ def decide_templates(
 def decide_schedules(
     mutations: DataFrame,
     *,
-    live_keys: DataFrame | None = None,
+    live_keys: LiveKeys = None,
     stage: Stage = unstaged,
     width: int = RANGE_WIDTH,
 ) -> DataFrame:
@@ -113,7 +113,7 @@ def decide_schedules(
 
 
 def decide_blobs(
-    mutations: DataFrame, *, live_keys: DataFrame | None = None, width: int = RANGE_WIDTH
+    mutations: DataFrame, *, live_keys: LiveKeys = None, width: int = RANGE_WIDTH
 ) -> DataFrame:
     """Outcomes of the blob mutations; payloads play no part and are read once."""
     rows = mutations.where(F.col("kind") == "Bytes").drop("doc")
@@ -131,7 +131,7 @@ def decide_forms(
     *,
     new_ids: bool = True,
     open_before: DataFrame | None = None,
-    live_keys: DataFrame | None = None,
+    live_keys: LiveKeys = None,
     stage: Stage = unstaged,
     span_limit: int = SPAN_LIMIT,
     limit: int = BROADCAST_BYTES,
@@ -176,7 +176,7 @@ def apply_mutations(
     mutations: DataFrame,
     *,
     new_ids: bool = True,
-    live_keys: DataFrame | None = None,
+    live_keys: LiveKeys = None,
     open_before: DataFrame | None = None,
     stage: Stage = unstaged,
     span_limit: int = SPAN_LIMIT,
@@ -186,16 +186,19 @@ def apply_mutations(
     """One outcome per mutation of any kind.
 
     `live_keys` (`kind, template, generation, key`) and `open_before` (`template,
-    generation, fields`) describe the state in front of the batch. With `stage` the
+    generation, fields`) describe the state in front of the batch; `live_keys` may also be a
+    function of a kind and the keys asked for. With `stage` the
     mutations are read once, and documents are decoded once and written down before
     their order is looked at; without it every pass over the mutations runs and
     decodes them again. Mutations of an unknown kind are refused as `bad_mutation`.
     """
     mutations = stage(mutations, "mutations")
 
-    def live(kind: str, *keys: str) -> DataFrame | None:
+    def live(kind: str, *keys: str) -> LiveKeys:
         if live_keys is None:
             return None
+        if callable(live_keys):
+            return lambda asked: live_keys(kind, asked)
         return live_keys.where(F.col("kind") == F.lit(kind)).select(*keys)
 
     templates = decide_templates(

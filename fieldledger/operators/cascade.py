@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.operators.history import decide, version_history
+from fieldledger.operators.history import LiveKeys, decide, version_history
 from fieldledger.operators.joins import BROADCAST_BYTES, join_small
 from fieldledger.operators.ordered import RANGE_WIDTH, carry
 from fieldledger.operators.validate import validate_forms
@@ -87,7 +87,7 @@ def accept_form_mutations(
     template_fields: DataFrame | None = None,
     fields: str = "fields",
     open_before: DataFrame | None = None,
-    live_keys: DataFrame | None = None,
+    live_keys: LiveKeys = None,
     stage: Stage = unstaged,
     span_limit: int = SPAN_LIMIT,
     limit: int = BROADCAST_BYTES,

@@ -18,7 +18,7 @@ def first_entry(log: DataFrame) -> DataFrame:
     return log.orderBy("seq").limit(1)
 
 
-def _checked(cursor: str) -> str:
+def checked_cursor(cursor: str) -> str:
     if not re.match(UUID_PATTERN, cursor):
         raise ValueError(f"malformed cursor {cursor!r}")
     return cursor
@@ -28,7 +28,7 @@ def drain(log: DataFrame, after: str | None = None) -> DataFrame:
     """All entries past the cursor; an unknown cursor gives none."""
     if after is None:
         return log
-    position = log.where(F.col("id") == F.lit(_checked(after))).agg(F.min("seq"))
+    position = log.where(F.col("id") == F.lit(checked_cursor(after))).agg(F.min("seq"))
     return log.where(F.col("seq") > position.scalar())
 
 

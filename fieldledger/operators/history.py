@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from fieldledger.functions.codecs import derived_id
 from fieldledger.operators.joins import BROADCAST_BYTES, fits_broadcast
 from fieldledger.operators.ordered import RANGE_WIDTH, carry
 
+# Keys that were live before, as a table, or found for the keys that are asked for.
+LiveKeys = DataFrame | Callable[[DataFrame], DataFrame | None] | None
+
 LOG_IDS = "log"
 VERSION_IDS = "version"
 RECORD_IDS = "record"
@@ -20,7 +23,7 @@ def accept_mutations(
     mutations: DataFrame,
     keys: Sequence[str],
     *,
-    live_keys: DataFrame | None = None,
+    live_keys: LiveKeys = None,
     limit: int = BROADCAST_BYTES,
     width: int = RANGE_WIDTH,
 ) -> DataFrame:
@@ -35,9 +38,10 @@ def accept_mutations(
     action = F.col("action")
     live_after = F.when(action == "Add", F.lit(True)).when(action == "Delete", F.lit(False))
     initial = None
-    if live_keys is not None:
-        known = live_keys.select(*keys).distinct()
-        asked = mutations.select(*keys).distinct()
+    asked = mutations.select(*keys).distinct()
+    known = live_keys(asked) if callable(live_keys) else live_keys
+    if known is not None:
+        known = known.select(*keys).distinct()
         if fits_broadcast(asked, limit):
             # Narrowed where the earlier state is scanned, before it is shuffled.
             known = known.join(F.broadcast(asked), list(keys), "left_semi")
@@ -58,7 +62,7 @@ def decide(
     checked: DataFrame,
     keys: Sequence[str],
     *,
-    live_keys: DataFrame | None = None,
+    live_keys: LiveKeys = None,
     width: int = RANGE_WIDTH,
 ) -> DataFrame:
     """`accept_mutations` for wide rows some of which already have a `reject_reason`.
