@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldledger.functions.documents import (
     decode_form,
@@ -15,7 +18,7 @@ from fieldledger.operators.cascade import FORM_KEYS, SPAN_LIMIT, accept_form_mut
 from fieldledger.operators.history import LiveKeys, assign_record_ids, decide
 from fieldledger.operators.joins import BROADCAST_BYTES
 from fieldledger.operators.ordered import RANGE_WIDTH
-from fieldledger.schemas import ACTIONS, KINDS
+from fieldledger.schemas import ACTIONS, FORM_FIELDS, KINDS, SHIFT, TEMPLATE_FIELD
 from fieldledger.sources.staging import Stage, unstaged
 
 # Columns of an outcome; the record columns of the other kinds are null.
@@ -34,6 +37,43 @@ OUTCOME = (
     "payload",
     "committed_at",
 )
+# What the decoded documents become.
+FORM_RECORD = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("scouter", T.StringType()),
+        T.StructField("team", T.LongType()),
+        T.StructField("match_number", T.LongType()),
+        T.StructField("event_key", T.StringType()),
+        T.StructField("fields", FORM_FIELDS),
+    ]
+)
+TEMPLATE_RECORD = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("year", T.LongType()),
+        T.StructField("fields", T.ArrayType(TEMPLATE_FIELD)),
+    ]
+)
+SCHEDULE_RECORD = T.StructType(
+    [T.StructField("event", T.StringType()), T.StructField("shifts", T.ArrayType(SHIFT))]
+)
+_TYPES = {
+    "generation": T.LongType(),
+    "form": FORM_RECORD,
+    "template_record": TEMPLATE_RECORD,
+    "schedule": SCHEDULE_RECORD,
+    "payload": T.BinaryType(),
+}
+_NO_TEMPLATES = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("action", T.StringType()),
+        T.StructField("accepted", T.BooleanType()),
+        T.StructField("template_record", TEMPLATE_RECORD),
+    ]
+)
 
 
 def _unusable() -> Column:
@@ -91,7 +131,7 @@ def decide_templates(
     *,
     live_keys: LiveKeys = None,
     stage: Stage = unstaged,
-    width: int = RANGE_WIDTH,
+    width: int | None = RANGE_WIDTH,
 ) -> DataFrame:
     """Outcomes of the template mutations; the key is the name in the document."""
     rows = _decoded(mutations, "Template", decode_template, "template_record")
@@ -104,7 +144,7 @@ def decide_schedules(
     *,
     live_keys: LiveKeys = None,
     stage: Stage = unstaged,
-    width: int = RANGE_WIDTH,
+    width: int | None = RANGE_WIDTH,
 ) -> DataFrame:
     """Outcomes of the schedule mutations; the key is the event in the document."""
     rows = _decoded(mutations, "Schedule", decode_schedule, "schedule")
@@ -113,7 +153,7 @@ def decide_schedules(
 
 
 def decide_blobs(
-    mutations: DataFrame, *, live_keys: LiveKeys = None, width: int = RANGE_WIDTH
+    mutations: DataFrame, *, live_keys: LiveKeys = None, width: int | None = RANGE_WIDTH
 ) -> DataFrame:
     """Outcomes of the blob mutations; payloads play no part and are read once."""
     rows = mutations.where(F.col("kind") == "Bytes").drop("doc")
@@ -135,7 +175,7 @@ def decide_forms(
     stage: Stage = unstaged,
     span_limit: int = SPAN_LIMIT,
     limit: int = BROADCAST_BYTES,
-    width: int = RANGE_WIDTH,
+    width: int | None = RANGE_WIDTH,
 ) -> DataFrame:
     """Outcomes of the form mutations against the decided `templates`.
 
@@ -179,9 +219,10 @@ def apply_mutations(
     live_keys: LiveKeys = None,
     open_before: DataFrame | None = None,
     stage: Stage = unstaged,
+    kinds: Collection[str] = KINDS,
     span_limit: int = SPAN_LIMIT,
     limit: int = BROADCAST_BYTES,
-    width: int = RANGE_WIDTH,
+    width: int | None = RANGE_WIDTH,
 ) -> DataFrame:
     """One outcome per mutation of any kind.
 
@@ -190,7 +231,8 @@ def apply_mutations(
     function of a kind and the keys asked for. With `stage` the
     mutations are read once, and documents are decoded once and written down before
     their order is looked at; without it every pass over the mutations runs and
-    decodes them again. Mutations of an unknown kind are refused as `bad_mutation`.
+    decodes them again. Mutations of an unknown kind are refused as `bad_mutation`. `kinds` may
+    leave out known kinds of which there is no mutation.
     """
     mutations = stage(mutations, "mutations")
 
@@ -201,17 +243,22 @@ def apply_mutations(
             return lambda asked: live_keys(kind, asked)
         return live_keys.where(F.col("kind") == F.lit(kind)).select(*keys)
 
-    templates = decide_templates(
-        mutations, live_keys=live("Template", "key"), stage=stage, width=width
-    )
-    templates = stage(templates, "templates")
-    outcomes = [
-        templates,
-        decide_schedules(
-            mutations, live_keys=live("Schedule", "key"), stage=stage, width=width
-        ),
-        decide_blobs(mutations, live_keys=live("Bytes", "key"), width=width),
-        decide_forms(
+    outcomes = [refuse_unknown(mutations)]
+    templates = mutations.sparkSession.createDataFrame([], _NO_TEMPLATES)
+    if "Template" in kinds:
+        templates = decide_templates(
+            mutations, live_keys=live("Template", "key"), stage=stage, width=width
+        )
+        templates = stage(templates, "templates")
+        outcomes.append(templates)
+    if "Schedule" in kinds:
+        outcomes.append(
+            decide_schedules(mutations, live_keys=live("Schedule", "key"), stage=stage, width=width)
+        )
+    if "Bytes" in kinds:
+        outcomes.append(decide_blobs(mutations, live_keys=live("Bytes", "key"), width=width))
+    if "Form" in kinds:
+        forms = decide_forms(
             mutations,
             templates,
             new_ids=new_ids,
@@ -221,10 +268,10 @@ def apply_mutations(
             span_limit=span_limit,
             limit=limit,
             width=width,
-        ),
-        refuse_unknown(mutations),
-    ]
+        )
+        outcomes.append(forms)
     merged = outcomes[0]
     for rows in outcomes[1:]:
         merged = merged.unionByName(rows, allowMissingColumns=True)
-    return merged.select(*OUTCOME)
+    absent = {name: F.lit(None).cast(kind) for name, kind in _TYPES.items() if name not in merged.columns}
+    return merged.withColumns(absent).select(*OUTCOME)

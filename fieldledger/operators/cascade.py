@@ -21,7 +21,7 @@ SPAN_LIMIT = 1024
 FORM_KEYS = ("template", "generation", "key")
 
 
-def template_generations(accepted: DataFrame, *, width: int = RANGE_WIDTH) -> DataFrame:
+def template_generations(accepted: DataFrame, *, width: int | None = RANGE_WIDTH) -> DataFrame:
     """`(template, generation, seq_from, seq_to, version_id)` of accepted template mutations."""
     versions = version_history(accepted, ["template"], width=width)
     return versions.select(
@@ -43,7 +43,7 @@ def bind_generation(
     *,
     open_before: DataFrame | None = None,
     span_limit: int = SPAN_LIMIT,
-    width: int = RANGE_WIDTH,
+    width: int | None = RANGE_WIDTH,
 ) -> DataFrame:
     """Adds the `generation` open at the `seq` of each form mutation, else null.
 
@@ -91,7 +91,7 @@ def accept_form_mutations(
     stage: Stage = unstaged,
     span_limit: int = SPAN_LIMIT,
     limit: int = BROADCAST_BYTES,
-    width: int = RANGE_WIDTH,
+    width: int | None = RANGE_WIDTH,
 ) -> DataFrame:
     """Outcome of every form mutation: `generation`, `accepted`, `reject_reason`.
 

@@ -25,7 +25,7 @@ def accept_mutations(
     *,
     live_keys: LiveKeys = None,
     limit: int = BROADCAST_BYTES,
-    width: int = RANGE_WIDTH,
+    width: int | None = RANGE_WIDTH,
 ) -> DataFrame:
     """Adds `live_before` and `accepted` to mutations ordered by `seq`.
 
@@ -63,7 +63,7 @@ def decide(
     keys: Sequence[str],
     *,
     live_keys: LiveKeys = None,
-    width: int = RANGE_WIDTH,
+    width: int | None = RANGE_WIDTH,
 ) -> DataFrame:
     """`accept_mutations` for wide rows some of which already have a `reject_reason`.
 
@@ -109,7 +109,7 @@ def current_state_stored(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def version_history(
-    accepted: DataFrame, keys: Sequence[str], *, width: int = RANGE_WIDTH
+    accepted: DataFrame, keys: Sequence[str], *, width: int | None = RANGE_WIDTH
 ) -> DataFrame:
     """All versions ever live, with the `seq` that replaced each.
 

@@ -62,16 +62,17 @@ def carry(
     *,
     backward: bool = False,
     initial: DataFrame | None = None,
-    width: int = RANGE_WIDTH,
+    width: int | None = RANGE_WIDTH,
 ) -> DataFrame:
     """Adds `name`: the nearest earlier non-null `value` of the same key.
 
     With `backward` it is the nearest later one. `initial` (the keys and a column
     `name`, one row per key) gives the value in front of the first row. `seq` must
     be unique within a key. Rows should be narrow, as windows hold them: bring content
-    in by `seq` later.
+    in by `seq` later. A `width` of None says that no key has too many rows for a task, as in a
+    table of few rows, and saves the pass that counts them.
     """
-    if width <= 0:
+    if width is not None and width <= 0:
         raise ValueError("width must be positive")
     if backward and initial is not None:
         raise ValueError("an initial value needs the forward direction")
@@ -87,7 +88,7 @@ def carry(
         valued = valued.withColumn("_given", F.lit(False)).unionByName(
             given, allowMissingColumns=True
         )
-    cuts = range_cuts(rows, keys, seq, width)
+    cuts = None if width is None else range_cuts(rows, keys, seq, width)
     if cuts is None:
         ranged = valued.withColumn("_range", F.lit(None).cast("int"))
     else:

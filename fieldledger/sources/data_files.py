@@ -50,19 +50,16 @@ def write_files(
     order: Sequence[str],
     *,
     level: int = 0,
-    bloom: str | None = None,
 ) -> list[DataFile]:
     """Writes the rows of an attempt, a folder per group, and tells its files.
 
     Rows of a group are brought together, and large groups shared among tasks, before they are
-    written, so that small batches make one file for each group they touch.
+    written, so that small batches make one file for each group they touch. Files are in `order`, so
+    a filter on its first column reads few row groups.
     """
     folder = f"{root}/{table}/attempt={attempt}"
     together = rows.hint("rebalance", *groups).sortWithinPartitions(*groups, *order)
-    writer = together.write.partitionBy(*groups).option("maxRecordsPerFile", FILE_ROWS)
-    if bloom:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
-    writer.parquet(folder)
+    together.write.partitionBy(*groups).option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
     return files_in(rows.sparkSession, root, table, folder, rows.schema, groups, level)
 
 

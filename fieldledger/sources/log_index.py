@@ -68,7 +68,7 @@ def write_index(
         F.coalesce("_within", "_follower").alias("next"),
         bucket_column(F.col("id"), buckets).alias("bucket"),
     )
-    return write_files(rows, root, "ids", attempt, ["bucket"], ["id"], bloom="id")
+    return write_files(rows, root, "ids", attempt, ["bucket"], ["id"])
 
 
 @dataclass(frozen=True)
