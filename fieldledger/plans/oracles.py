@@ -228,6 +228,20 @@ FROM live l JOIN spans s ON l.template = s.template AND l.generation = s.seq_fro
 JOIN forms f ON f.event_id = l.seq WHERE s.seq_to IS NULL"""
 )
 
+_LEDGER_GET_SQL = (
+    _with(*_MIXED_BATCH[:5], _current("live", "form_outcomes", _GENERATION_KEYS), _FORMS)
+    + f"""SELECT w.template, w.id, l.seq IS NOT NULL AS found, l.generation * 4 AS generation,
+  {", ".join(name for name in _FLAT.split(", ") if name not in ("template", "id"))}
+FROM (SELECT DISTINCT {_MIXED} AS template, CAST(user_id AS VARCHAR) AS id FROM events) w
+LEFT JOIN (SELECT v.* FROM live v JOIN spans s ON v.template = s.template AND v.generation = s.seq_from
+  WHERE s.seq_to IS NULL) l ON w.template = l.template AND w.id = l.key
+LEFT JOIN forms f ON f.event_id = l.seq"""
+)
+_PAGES_TWICE = f"""twice AS (
+  SELECT 'blob_' || CAST(page_id // 8 AS VARCHAR) AS key,
+    page_id * 4 + 2 + round * (SELECT max(page_id * 4) - min(page_id * 4) + 1 FROM pages) AS seq,
+    {_PAGE_ACTION} AS action, html FROM pages, (VALUES (0), (1)) r(round))"""
+
 ORACLES: dict[str, str] = {
     "forms_filter_none": _filter(),
     "forms_filter_event": _filter("event"),
@@ -354,6 +368,16 @@ FROM faults""",
     "ledger_forms": _LEDGER_FORMS_SQL,
     "ledger_forms_filter": _LEDGER_FORMS_SQL
     + f" AND l.template = '{LEDGER_TEMPLATE}' AND scouter = '{FILTER['scouter']}'",
+    "ledger_get_batch": _LEDGER_GET_SQL,
+    "ledger_two_writers": _with(_PAGES_TWICE, _decide("twice_outcomes", "twice", "key"))
+    + "SELECT seq, key, action, accepted, reject_reason FROM twice_outcomes",
+    "ledger_intake_stream": _with(
+        *_MIXED_BATCH, "places AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS place FROM outcomes)"
+    )
+    + """SELECT p.place AS seq, kind, template, g.place AS generation, key, action, accepted, reject_reason
+FROM outcomes o JOIN places p ON p.seq = o.seq LEFT JOIN places g ON g.seq = o.generation""",
+    "blob_lossy_keys": "SELECT url || chr(65533) AS key, sha256(html) AS payload_sha256 FROM pages",
+    "store_partly_absent": "SELECT DISTINCT 'templates' AS kind, event_type AS key FROM events",
     "change_log_entries": _with(*_LOG_CTES) + f"SELECT {_ENTRY} FROM log",
     "sync_first": _with(*_LOG_CTES) + f"SELECT {_ENTRY} FROM log ORDER BY seq LIMIT 1",
     "sync_after": _with(*_LOG_CTES) + f"SELECT {_ENTRY} FROM log WHERE {_AFTER} ORDER BY seq LIMIT 1",

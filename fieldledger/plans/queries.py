@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from threading import Thread
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from fieldledger.functions.fields import (
     tag_of,
 )
 from fieldledger.functions.locations import location
-from fieldledger.operators import cascade, feed, history, lookup, query, validate
+from fieldledger.operators import cascade, history, lookup, query, validate
 from fieldledger.operators.apply import apply_mutations, decide_blobs, decide_schedules
 from fieldledger.operators.changelog import change_log
 from fieldledger.schemas import TEMPLATE_FIELD
@@ -34,8 +35,9 @@ from fieldledger.session import new_scratch
 from fieldledger.sources import record_files, record_store
 from fieldledger.sources import sample_views as views
 from fieldledger.sources.ledger import Ledger
+from fieldledger.sources.log_index import IndexedLog
 from fieldledger.sources.staging import stage_in
-from fieldledger.streaming import change_feed
+from fieldledger.streaming import change_feed, intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -246,6 +248,17 @@ def blob_encode(spark, sf_dir):
     )
 
 
+@register
+def blob_lossy_keys(spark, sf_dir):
+    """Frames whose key ends in a byte that is no UTF-8."""
+    key = F.concat(F.col("key").cast("binary"), F.unhex(F.lit("FF")))
+    length = F.unhex(F.lpad(F.hex(F.octet_length(key).cast("bigint")), 16, "0"))
+    framed = views.blobs(spark, sf_dir).select(F.concat(length, key, F.col("payload")).alias("content"))
+    return framed.select(decode_blob(F.col("content")).alias("blob")).select(
+        F.col("blob.key").alias("key"), F.sha2("blob.payload", 256).alias("payload_sha256")
+    )
+
+
 @register
 def blob_roundtrip(spark, sf_dir):
     framed = views.blobs(spark, sf_dir).select(
@@ -451,12 +464,14 @@ def mixed_change_log(spark, sf_dir):
     return change_log(_mixed(spark, sf_dir).where("accepted"))
 
 
-def _committed(spark: SparkSession, sf_dir: str) -> Ledger:
+def _committed(spark: SparkSession, sf_dir: str, *, snapshot_between: bool = False) -> Ledger:
     """A ledger holding the mixed mutations in two batches, cut at the middle `seq`."""
     ledger = Ledger(spark, new_scratch(spark, "ledger"))
     mutations = views.ledger_mutations(spark, sf_dir)
     middle = mutations.agg(F.expr("max(seq) div 2")).first()[0]
     ledger.commit("first", mutations.where(F.col("seq") <= middle), new_ids=False)
+    if snapshot_between:
+        ledger.snapshot()
     ledger.commit("second", mutations.where(F.col("seq") > middle), new_ids=False)
     return ledger
 
@@ -484,10 +499,57 @@ def ledger_forms_filter(spark, sf_dir):
     """A filter on the current-state table, which reads one template's folder."""
     ledger = _committed(spark, sf_dir)
     ledger.snapshot()
-    rows = query.filter_forms(ledger.forms(), LEDGER_TEMPLATE, scouter=FILTER["scouter"])
+    rows = query.filter_forms(ledger.forms(LEDGER_TEMPLATE), LEDGER_TEMPLATE, scouter=FILTER["scouter"])
     return flat_forms(rows, "generation")
 
 
+@register
+def ledger_get_batch(spark, sf_dir):
+    """Wanted forms looked up in their buckets, between snapshot and later mutations."""
+    ledger = _committed(spark, sf_dir, snapshot_between=True)
+    wanted = views.events(spark, sf_dir).select(
+        views.mixed_template().alias("template"), F.col("user_id").cast("string").alias("id")
+    )
+    return flat_forms(ledger.get_forms(wanted), "found", "generation").drop("n_fields")
+
+
+@register
+def ledger_two_writers(spark, sf_dir):
+    """The same blob mutations committed by two writers at once; the loser decides them anew."""
+    root, mutations = new_scratch(spark, "ledger"), _of_kind(spark, sf_dir, "Bytes")
+    failures: list[Exception] = []
+
+    def write(name: str) -> None:
+        try:
+            Ledger(spark, root).commit(name, mutations, assign_seq=True)
+        except Exception as failure:
+            failures.append(failure)
+
+    threads = [Thread(target=write, args=(name,)) for name in ("one", "two")]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if failures:
+        raise failures[0]
+    return Ledger(spark, root).outcomes().select("seq", "key", "action", "accepted", "reject_reason")
+
+
+@register
+def ledger_intake_stream(spark, sf_dir):
+    """The mixed mutations landed as files in three pieces, each taken in by a resumed stream."""
+    scratch = new_scratch(spark, "intake")
+    ledger, landing = Ledger(spark, f"{scratch}/ledger"), f"{scratch}/landing"
+    mutations = views.ledger_mutations(spark, sf_dir)
+    last = mutations.agg(F.max("seq")).first()[0]
+    for piece in range(3):
+        inside = F.expr(f"seq * 3 div {last + 1}") == piece
+        mutations.where(inside).write.mode("append").parquet(landing)
+        rows = intake.read_mutations(spark, landing)
+        intake.ingest(rows, ledger, "intake", f"{scratch}/cursor", new_ids=False).awaitTermination()
+    return _outcome_columns(ledger.outcomes())
+
+
 @register
 def ledger_feed_stream(spark, sf_dir):
     """The log files that the commits published, followed by a stream, read back."""
@@ -506,13 +568,13 @@ def change_log_entries(spark, sf_dir):
     return views.log(spark, sf_dir)
 
 
-def _stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged(spark, views.log(spark, sf_dir), "log")
+def _stored_log(spark: SparkSession, sf_dir: str) -> IndexedLog:
+    return IndexedLog.write(views.log(spark, sf_dir), new_scratch(spark, "log"))
 
 
 @register
 def sync_first(spark, sf_dir):
-    return feed.sync(_stored_log(spark, sf_dir))
+    return _stored_log(spark, sf_dir).sync()
 
 
 def _cursor(seq: int) -> str:
@@ -525,22 +587,22 @@ def _cursor(seq: int) -> str:
 
 @register
 def sync_after(spark, sf_dir):
-    return feed.sync(_stored_log(spark, sf_dir), _cursor(CURSOR_SEQ))
+    return _stored_log(spark, sf_dir).sync(_cursor(CURSOR_SEQ))
 
 
 @register
 def sync_after_unknown(spark, sf_dir):
-    return feed.sync(_stored_log(spark, sf_dir), _cursor(-1))
+    return _stored_log(spark, sf_dir).sync(_cursor(-1))
 
 
 @register
 def sync_drain(spark, sf_dir):
-    return feed.drain(_stored_log(spark, sf_dir), _cursor(CURSOR_SEQ))
+    return _stored_log(spark, sf_dir).drain(_cursor(CURSOR_SEQ))
 
 
 @register
 def sync_consumers(spark, sf_dir):
-    return feed.next_entries(_stored_log(spark, sf_dir), views.cursors(spark, sf_dir))
+    return _stored_log(spark, sf_dir).next_entries(views.cursors(spark, sf_dir))
 
 
 @register
@@ -633,6 +695,18 @@ def store_forms_of_one(spark, sf_dir):
     return flat_forms(record_store.import_forms(record_store.read_forms(spark, root, TEMPLATE), templates))
 
 
+@register
+def store_partly_absent(spark, sf_dir):
+    """What a store without forms and schedules holds: absent folders are empty."""
+    root = _exported(spark, templates=views.templates(spark, sf_dir))
+    tables = record_store.import_store(spark, root)
+    rows = [
+        tables[table].select(F.lit(table).alias("kind"), F.col(key).alias("key"))
+        for table, key in (("templates", "name"), ("forms", "id"), ("schedules", "event"), ("blobs", "key"))
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @register
 def store_schedules_strict(spark, sf_dir):
     """Schedules read so that one unreadable file would fail the job."""

@@ -175,7 +175,7 @@ def _is_template_change() -> Column:
     return (F.col("event_type") == "purchase") & (F.col("value") >= TEMPLATE_CHANGE_VALUE)
 
 
-def _mixed_template() -> Column:
+def mixed_template() -> Column:
     return F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string"))
 
 
@@ -185,7 +185,7 @@ def template_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
         events(spark, sf_dir)
         .where(_is_template_change())
         .select(
-            _mixed_template().alias("template"),
+            mixed_template().alias("template"),
             F.col("event_id").alias("seq"),
             _template_change().alias("action"),
         )
@@ -197,7 +197,7 @@ def form_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
         events(spark, sf_dir)
         .where(~_is_template_change())
         .select(
-            _mixed_template().alias("template"),
+            mixed_template().alias("template"),
             F.col("user_id").cast("string").alias("key"),
             F.col("event_id").alias("seq"),
             _event_action().alias("action"),
@@ -259,7 +259,7 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         derived_id(LOG_IDS, F.col("event_id")).alias("id"),
         kind.alias("kind"),
-        F.when(name == "view", _mixed_template()).alias("template"),
+        F.when(name == "view", mixed_template()).alias("template"),
         _event_action().alias("action"),
         F.col("props").alias("new_path"),
     )
@@ -372,10 +372,10 @@ def ledger_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from_events = event.select(
         (F.col("event_id") * 4).alias("seq"),
         F.when(change, F.lit("Template")).otherwise(F.lit("Form")).alias("kind"),
-        F.when(~change, _mixed_template()).alias("template"),
-        F.when(change, _mixed_template()).otherwise(user).alias("key"),
+        F.when(~change, mixed_template()).alias("template"),
+        F.when(change, mixed_template()).otherwise(user).alias("key"),
         F.when(change, _template_change()).otherwise(_event_action()).alias("action"),
-        F.when(change, template_json(_mixed_template(), F.lit(2024).cast("bigint"), definition))
+        F.when(change, template_json(mixed_template(), F.lit(2024).cast("bigint"), definition))
         .otherwise(form_doc)
         .alias("doc"),
         F.lit(None).cast("binary").alias("payload"),
