@@ -9,8 +9,8 @@ needs no padding, and what was trimmed off goes back to the pool.
 
 Tasks pack what they read, so nothing is shuffled and a retried task packs the same again.
 A sequence's number holds the number of its task. The ids are those of the vocabulary's JSON
-file read by `tokenizers`, special strings taken as ordinary text; the rank file gives the
-same ids several times faster.
+file read by `tokenizers`; the rank file gives the same ids several times faster, and
+texts that hold one of the JSON file's added tokens are encoded around it.
 
 Defined results: null and empty texts consist of the end id alone; repeated rows and ids
 are packed row by row; a null id stays null; without rows there are no sequences.
@@ -18,6 +18,8 @@ are packed row by row; a null id stays null; without rows there are no sequences
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,15 +27,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm.bpe import RANKS
 from fieldledger.llm.common import on_workers, table, whole_text
-from fieldledger.llm.word_ids import all_ids
+from fieldledger.llm.word_ids import all_ids, encode_all
 
 END_ID = 1
+VOCABULARY = "byte_bpe_50k.json"
 SEQUENCES_PER_TASK = 1 << 40
 PIECES = pa.schema(
     [
@@ -174,13 +178,44 @@ class Packer:
         )
 
 
+def added_tokens(vocabulary_path: str) -> dict[str, int]:
+    """The strings that a vocabulary's JSON file takes as one id wherever they stand."""
+    with open(vocabulary_path, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+def ids_around(text: str, added: dict[str, int], ranks_path: str) -> np.ndarray:
+    """Ids of a text that holds added tokens; the leftmost, then longest one counts."""
+    tokens = "|".join(re.escape(token) for token in sorted(added, key=len, reverse=True))
+    parts = re.split(f"({tokens})", text)
+    flat, counts = encode_all(parts[::2], ranks_path)
+    plain = np.split(flat, np.cumsum(counts)[:-1])
+    found = [plain[0]]
+    for token, ids in zip(parts[1::2], plain[1:], strict=True):
+        found += [np.array([added[token]], np.uint32), ids]
+    return np.concatenate(found)
+
+
+def document_ids(texts: pa.Array, added: dict[str, int], ranks_path: str) -> Iterator[np.ndarray]:
+    """The ids of each text, as the JSON file read by `tokenizers` gives them."""
+    holds = np.zeros(len(texts), bool)
+    for token in added:
+        holds |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+    for place, ids in enumerate(all_ids(texts, ranks_path)):
+        yield ids_around(texts[place].as_py(), added, ranks_path) if holds[place] else ids
+
+
 def pack_examples(
     docs: DataFrame,
     ranks_path: str,
     limits: Limits = Limits(),
     loss_from: Column | None = None,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Pieces of packed sequences; `loss_from` is the first id of a document that bears loss."""
+    """Pieces of packed sequences; `loss_from` is the first id of a document that bears loss.
+
+    `added` are strings that count as one id each.
+    """
     begins = F.coalesce(loss_from, F.lit(0)) if loss_from is not None else F.lit(0)
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -192,7 +227,7 @@ def pack_examples(
         packer = Packer(limits, TaskContext.get().partitionId() * SEQUENCES_PER_TASK)
         for batch in batches:
             doc_ids, begin = batch.column("doc_id").to_pylist(), batch.column("loss_from").to_pylist()
-            ids = all_ids(batch.column("text"), ranks_path)
+            ids = document_ids(batch.column("text"), added or {}, ranks_path)
             for doc_id, own, first in zip(doc_ids, ids, begin, strict=True):
                 whole = np.append(own, np.uint32(END_ID))
                 packer.add(Example(doc_id, whole, first))
@@ -204,4 +239,5 @@ def pack_examples(
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    added = added_tokens(public_tokenizers.path(VOCABULARY))
+    return pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), added=added)

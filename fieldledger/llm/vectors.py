@@ -7,15 +7,16 @@ are sums of table entries, one per subspace; an entry is dropped only if its dis
 its coding error exceeds the threshold, so the codes lose no link, and exact cosines in
 double precision decide the rest.
 
-Quantisers are fitted on at most `SAMPLE` vectors, drawn by hash; every vector is indexed
-and asks. Lists and their askers are cut into blocks, so a dense list spreads over many
+Vectors of each length have an index of their own, as cosines exist among them alone.
+Quantisers are fitted on about `SAMPLE` vectors, drawn by hash and shared out among the lengths; every
+vector is indexed and asks. Lists and their askers are cut into blocks, so a dense list spreads over many
 tasks, and a task returns link counts and the links of a spanning forest, never all pairs.
 Equal vectors are one node from the start. A pair both of whose vectors ask for the other's
 list is counted once. Only the choice of lists can miss a link; tests measure the recall.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite
-component link with nothing, as do those of another length than most vectors have, and rows
-without an id, whose component is null; rows that repeat an id and a vector count row by row.
+component link with nothing, as do rows without an id, whose component is null; vectors of
+different lengths never link; rows that repeat an id and a vector count row by row.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldledger.llm.common import blocks_of, dealt, map_batches, on_workers, staged, table
@@ -121,21 +123,58 @@ def vector_nodes(vectors: DataFrame) -> DataFrame:
     return staged(nodes.withColumn("length", F.size("vector")), "vector-nodes")
 
 
-def list_rows(nodes: DataFrame, index: Index) -> DataFrame:
+@dataclass(frozen=True)
+class Indexes:
+    """The index of each vector length; its lists are numbered from its first one."""
+
+    by_length: dict[int, tuple[int, Index]]
+
+    def of_list(self, number: int) -> tuple[int, Index]:
+        return max((own for own in self.by_length.values() if own[0] <= number), key=lambda own: own[0])
+
+
+def fit_indexes(nodes: DataFrame) -> Indexes:
+    """Fits the indexes on samples in proportion to the lengths, one vector of each at least."""
+    lengths = nodes.groupBy("length").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    shares = lengths.withColumn("share", F.ceil(F.least(F.lit(1.0), SAMPLE / total) * F.col("n")))
+    drawn = nodes.join(F.broadcast(shares), "length")
+    drawn = drawn.where(F.pmod(F.xxhash64("vector"), F.col("n")) < F.col("share"))
+    first = Window.partitionBy("length").orderBy("node")
+    # Bounded: twice the sample, and two vectors of each length that the hash may have left without any.
+    some = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 2 * F.col("share"))
+    least = nodes.groupBy("length").agg(F.min_by("vector", "node").alias("vector"))
+    samples: dict[int, list] = {row["length"]: [row["vector"]] for row in least.collect()}
+    for row in some.select("length", "vector").collect():
+        samples[row["length"]].append(row["vector"])
+    found, lists = {}, 0
+    for row in lengths.orderBy("length").collect():
+        sample = units(np.array(samples[row["length"]], dtype=np.float64))
+        index = fit_index(sample, int(np.clip(row["n"] // PER_LIST, 1, MOST_LISTS)))
+        found[row["length"]] = (lists, index)
+        lists += len(index.centres)
+    return Indexes(found)
+
+
+def list_rows(nodes: DataFrame, indexes: Indexes) -> DataFrame:
     """Every node as an entry of its list, and as an asker of the lists it probes."""
-    probes = min(PROBES, len(index.centres))
 
     def work(batch):
+        lengths = pc.list_value_length(batch.column("vector"))
+        for length in pc.unique(lengths).to_pylist():
+            yield indexed(batch.filter(pc.equal(lengths, length)), *indexes.by_length[length])
+
+    def indexed(batch, lists, index):
         vectors = np.array(batch.column("vector").to_pylist(), dtype=np.float64)
         points = units(vectors)
-        near = nearest(points, index.centres, probes)
+        near = nearest(points, index.centres, min(PROBES, len(index.centres)))
         codes, missed = index.encode(points - index.centres[near[:, 0]])
-        yield pa.record_batch(
+        return pa.record_batch(
             [
                 batch.column("node"),
                 batch.column("copies"),
-                pa.array(near[:, 0].astype(np.int32)),
-                pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())),
+                pa.array((lists + near[:, 0]).astype(np.int32)),
+                pa.array(list((lists + near).astype(np.int32)), pa.list_(pa.int32())),
                 pa.array([row.tobytes() for row in vectors], pa.binary()),
                 pa.array([row.tobytes() for row in codes], pa.binary()),
                 pa.array(missed),
@@ -170,7 +209,7 @@ def list_blocks(rows: DataFrame, block: int) -> DataFrame:
     return crossed(askers, "asker", "entry", True).unionByName(crossed(entries, "entry", "asker", False))
 
 
-def block_links(block: dict[str, list], index: Index, cosine: float) -> tuple[dict[int, int], list]:
+def block_links(block: dict[str, list], indexes: Indexes, cosine: float) -> tuple[dict[int, int], list]:
     """Links per node and a spanning forest of the links in one block."""
     asks = np.array(block["asks"])
     askers, entries = np.flatnonzero(asks), np.flatnonzero(~asks)
@@ -178,7 +217,8 @@ def block_links(block: dict[str, list], index: Index, cosine: float) -> tuple[di
         return {}, []
     raw = matrix(block["vector"])
     points = units(raw)
-    centre = index.centres[block["list"][0]]
+    lists, index = indexes.of_list(block["list"][0])
+    centre = index.centres[block["list"][0] - lists]
     codes = np.stack([np.frombuffer(block["codes"][e], np.uint8) for e in entries])
     missed = np.array(block["missed"])[entries]
     reach = np.sqrt(2 - 2 * cosine) + 1e-9
@@ -212,13 +252,13 @@ def block_links(block: dict[str, list], index: Index, cosine: float) -> tuple[di
     return counts, forest
 
 
-def links_of_lists(blocks: DataFrame, index: Index, cosine: float) -> DataFrame:
+def links_of_lists(blocks: DataFrame, indexes: Indexes, cosine: float) -> DataFrame:
     """`a` with its `links` in a block, and links `a`, `b` of the block's forest."""
     keys = ["list", "asker_part", "entry_part"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_of(batches, keys):
-            counts, forest = block_links(block, index, cosine)
+            counts, forest = block_links(block, indexes, cosine)
             if counts:
                 a = [*counts, *(first for first, _ in forest)]
                 b = [None] * len(counts) + [second for _, second in forest]
@@ -234,21 +274,13 @@ def links_of_lists(blocks: DataFrame, index: Index, cosine: float) -> DataFrame:
 def vector_components(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """Every row with its number of links, its component and whether it stays."""
     nodes = vector_nodes(vectors)
-    lengths = nodes.groupBy("length").agg(F.count("*").alias("n"))
-    most = lengths.orderBy(F.desc("n"), "length").first()
     numbers = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), numbers.alias("vector"))
-    if most is None:
-        alone = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"))
-        return alone.select("vec_id", "n_links", F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    same = nodes.where(F.col("length") == most["length"])
-    drawn = same.where(F.pmod(F.xxhash64("vector"), F.lit(most["n"])) < SAMPLE).limit(2 * SAMPLE)
-    sample = units(np.array([row["vector"] for row in drawn.select("vector").collect()], dtype=np.float64))
-    index = fit_index(sample, int(np.clip(most["n"] // PER_LIST, 1, MOST_LISTS)))
-    found = links_of_lists(list_blocks(list_rows(same, index), block), index, cosine)
+    indexes = fit_indexes(nodes)
+    found = links_of_lists(list_blocks(list_rows(nodes, indexes), block), indexes, cosine)
     linked = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(found.where(F.col("b").isNotNull()).select("a", "b"))
-    named = same.join(linked, "node", "left").join(labels, "node", "left")
+    named = nodes.join(linked, "node", "left").join(labels, "node", "left")
     # Written, so that a vector of very many rows is split like any skewed join key.
     named = staged(
         named.select(

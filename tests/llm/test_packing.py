@@ -3,10 +3,22 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer
+
 from fieldledger.llm import bpe
-from fieldledger.llm.packing import END_ID, Example, Limits, Packer, pack_examples
+from fieldledger.llm.packing import (
+    END_ID,
+    VOCABULARY,
+    Example,
+    Limits,
+    Packer,
+    added_tokens,
+    document_ids,
+    pack_examples,
+)
 
 RANKS = public_tokenizers.path(bpe.RANKS)
 
@@ -67,3 +79,14 @@ def test_dot_product_prefers_what_fits_the_rest():
 def test_empty_table_and_null_id(make_docs):
     assert pack_examples(make_docs([]), RANKS).count() == 0
     assert [p.doc_id for p in pack_examples(make_docs([(None, None)]), RANKS).collect()] == [None]
+
+
+def test_ids_are_those_of_the_json_file(make_docs):
+    path = public_tokenizers.path(VOCABULARY)
+    added, reference = added_tokens(path), Tokenizer.from_file(path)
+    end = next(iter(added))
+    texts = [f"a{end}b", end, f"{end}{end} x", f" {end} \n{end}", "plain text", "", f"tail {end[:-1]}", f"é {end}\n\n z"]
+    got = [ids.tolist() for ids in document_ids(pa.array(texts), added, RANKS)]
+    assert got == [reference.encode(text, add_special_tokens=False).ids for text in texts]
+    pieces = pack_examples(make_docs(list(enumerate(texts))), RANKS, added=added).collect()
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(ids) + 1 for i, ids in enumerate(got)}

@@ -73,3 +73,19 @@ def test_code_distances_never_exceed_their_error():
     codes, missed = index.encode(residuals)
     true = np.sqrt(((own[:, None] - own[None]) ** 2).sum(axis=2))
     assert (index.distances(residuals, codes) - missed[None, :] <= true + 1e-9).all()
+
+
+def test_each_length_is_compared_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_LIST", 40)
+    draw = np.random.default_rng(7)
+    table = make(3)[:300]
+    short = [draw.normal(size=4).tolist() for _ in range(6)]
+    own = [(2000 + i, v) for i, v in enumerate([*short, short[0], [2 * x for x in short[0]], [1.0], [1.0, 0.0]])]
+    df = spark.createDataFrame([(i, v, 0, "clash") for i, v in table + own], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.vector_components(df).collect()}
+    points = vectors.units(np.array([v for _, v in own[:8]], dtype=np.float32).astype(float))
+    near = points @ points.T >= 0.9
+    assert [got[2000 + i][0] for i in range(8)] == (near.sum(axis=1) - 1).tolist()
+    assert got[2006] == (got[2000][0], 2000) and got[2008] == (0, 2008) and got[2009] == (0, 2009)
+    want = expected(table)
+    assert {i: got[i] for i in want} == want
