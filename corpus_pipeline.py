@@ -36,7 +36,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
-    return packing.pack_examples(docs, public_tokenizers.path(bpe.RANKS))
+    added = packing.added_tokens(public_tokenizers.path(packing.VOCABULARY))
+    return packing.pack_examples(docs, public_tokenizers.path(bpe.RANKS), added=added)
 
 
 STAGES = [
