@@ -36,6 +36,8 @@ OUTCOME = (
     "schedule",
     "payload",
     "committed_at",
+    "log_id",
+    "logged_path",
 )
 # What the decoded documents become.
 FORM_RECORD = T.StructType(
@@ -64,6 +66,8 @@ _TYPES = {
     "template_record": TEMPLATE_RECORD,
     "schedule": SCHEDULE_RECORD,
     "payload": T.BinaryType(),
+    "log_id": T.StringType(),
+    "logged_path": T.StringType(),
 }
 _NO_TEMPLATES = T.StructType(
     [

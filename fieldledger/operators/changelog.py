@@ -23,13 +23,19 @@ def logged_path(kind: Column, key: Column, action: Column, seq: Column) -> Colum
 
 
 def change_log(accepted: DataFrame) -> DataFrame:
-    """Entries of accepted mutations with `seq, kind, template, key, action`."""
+    """Entries of accepted mutations with `seq, kind, template, key, action`.
+
+    A mutation taken over from another log keeps its `log_id` and `logged_path` there.
+    """
     seq, kind = F.col("seq"), F.col("kind")
+    ids, path = derived_id(LOG_IDS, seq), logged_path(kind, F.col("key"), F.col("action"), seq)
+    if "log_id" in accepted.columns:
+        ids, path = F.coalesce("log_id", ids), F.coalesce("logged_path", path)
     return accepted.select(
         "seq",
-        derived_id(LOG_IDS, seq).alias("id"),
+        ids.alias("id"),
         "kind",
         F.when(kind == "Form", F.col("template")).alias("template"),
         "action",
-        logged_path(kind, F.col("key"), F.col("action"), seq).alias("new_path"),
+        path.alias("new_path"),
     )

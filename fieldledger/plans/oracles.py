@@ -241,6 +241,7 @@ _PAGES_TWICE = f"""twice AS (
   SELECT 'blob_' || CAST(page_id // 8 AS VARCHAR) AS key,
     page_id * 4 + 2 + round * (SELECT max(page_id * 4) - min(page_id * 4) + 1 FROM pages) AS seq,
     {_PAGE_ACTION} AS action, html FROM pages, (VALUES (0), (1)) r(round))"""
+_ACCEPTED_PLACES = "accepted AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS place FROM outcomes WHERE accepted)"
 
 ORACLES: dict[str, str] = {
     "forms_filter_none": _filter(),
@@ -414,6 +415,21 @@ WHERE h.action <> 'Delete'""",
     "store_schedules_strict": _with(_SCHEDULES)
     + "SELECT event, pos, scouter, station, match_start, match_end FROM shifts",
     "store_into_ledger": _with(_FORMS) + f"SELECT {_FLAT}, n_fields FROM forms WHERE {_VALID}",
+    "store_history_versions": _with(*_MIXED_BATCH, _ACCEPTED_PLACES)
+    + """SELECT a.place, a.kind, a.template, g.place AS generation, a.key, a.action, a.accepted,
+  a.action <> 'Delete' AS content,
+  CASE WHEN a.action <> 'Delete' THEN e.user_id END AS team,
+  CASE WHEN a.action <> 'Delete' THEN e.event_id % 80 + 1 END AS match_number,
+  CASE WHEN a.action <> 'Delete' THEN sha256(p.html) END AS payload_sha256,
+  CASE WHEN a.action <> 'Delete' THEN t.turn * 10 END AS match_start,
+  CASE WHEN a.action <> 'Delete' THEN 1704067200 + a.seq END AS committed
+FROM accepted a LEFT JOIN accepted g ON g.seq = a.generation
+LEFT JOIN events e ON a.kind = 'Form' AND e.event_id * 4 = a.seq
+LEFT JOIN pages p ON a.kind = 'Bytes' AND p.page_id * 4 + 2 = a.seq
+LEFT JOIN turn_outcomes t ON a.kind = 'Schedule' AND t.seq = a.seq""",
+    "store_history_log": _with(*_MIXED_BATCH, _ACCEPTED_PLACES)
+    + f"""SELECT place, {_uuid('log', 'seq')} AS id, kind, template, action,
+  {_path('kind', 'key', 'action', 'seq')} AS new_path FROM accepted""",
     "store_schedules": _with(_SCHEDULES)
     + "SELECT event, pos, scouter, station, match_start, match_end FROM shifts",
     "store_blobs": """SELECT url AS key, sha256(url) AS key_sha256, sha256(html) AS payload_sha256

@@ -32,7 +32,7 @@ from fieldledger.operators.apply import apply_mutations, decide_blobs, decide_sc
 from fieldledger.operators.changelog import change_log
 from fieldledger.schemas import TEMPLATE_FIELD
 from fieldledger.session import new_scratch
-from fieldledger.sources import record_files, record_store
+from fieldledger.sources import record_files, record_store, store_history
 from fieldledger.sources import sample_views as views
 from fieldledger.sources.ledger import Ledger
 from fieldledger.sources.log_index import IndexedLog
@@ -723,12 +723,57 @@ def store_into_ledger(spark, sf_dir):
         forms=views.forms(spark, sf_dir),
         templates=views.templates(spark, sf_dir),
         schedules=views.schedules(spark, sf_dir),
+        blobs=views.blobs(spark, sf_dir),
     )
     ledger = Ledger(spark, new_scratch(spark, "ledger"))
-    ledger.commit("store", record_store.store_mutations(spark, root), new_ids=False)
+    # Not the first batch: the store goes behind what is there.
+    ledger.commit("earlier", _of_kind(spark, sf_dir, "Bytes"))
+    ledger.commit("store", record_store.store_mutations(spark, root), new_ids=False, assign_seq=True)
     return flat_forms(ledger.forms())
 
 
+def _exported_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The mixed mutations, exported with all versions and taken in behind another batch."""
+    ledger, root = Ledger(spark, new_scratch(spark, "ledger")), new_scratch(spark, "store")
+    # Every version with a time of its own, as the writer of a store gives them.
+    dated = F.timestamp_seconds(F.lit(1704067200) + F.col("seq"))
+    mutations = views.ledger_mutations(spark, sf_dir).withColumn("committed_at", dated)
+    ledger.commit("all", mutations, new_ids=False)
+    store_history.export_history(ledger, root)
+    other = Ledger(spark, new_scratch(spark, "ledger"))
+    other.commit("earlier", mutations.where("kind = 'Bytes' AND action = 'Edit'"), assign_seq=True)
+    history_rows = store_history.history_mutations(spark, root, f"{root}/log")
+    other.commit("history", history_rows, new_ids=False, assign_seq=True)
+    return other
+
+
+@register
+def store_history_versions(spark, sf_dir):
+    """All versions of a ledger written as files with a log, and chained together again."""
+    ledger = _exported_ledger(spark, sf_dir)
+    rows = ledger.outcomes().where("batch = 'history'")
+    first = rows.agg(F.min("seq")).first()[0] or 0
+    content = F.coalesce(
+        F.to_json("form"), F.to_json("schedule"), F.sha2("payload", 256), F.col("template_record.name")
+    )
+    return rows.select(
+        (F.col("seq") - first).alias("place"), "kind", "template", (F.col("generation") - first).alias("generation"),
+        "key", "action", "accepted", content.isNotNull().alias("content"),
+        F.col("form.team").alias("team"), F.col("form.match_number").alias("match_number"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.col("schedule.shifts")[0]["match_start"].alias("match_start"),
+        F.unix_seconds("committed_at").alias("committed"),
+    )
+
+
+@register
+def store_history_log(spark, sf_dir):
+    """The log that came back, ids and paths included."""
+    log = _exported_ledger(spark, sf_dir).change_log()
+    first = log.agg(F.min("seq")).first()[0] or 0
+    return log.select((F.col("seq") - first).alias("place"), "id", "kind", "template", "action", "new_path")
+
+
 @register
 def store_schedules(spark, sf_dir):
     root = _exported(spark, schedules=views.schedules(spark, sf_dir))

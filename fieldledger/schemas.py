@@ -94,3 +94,7 @@ MUTATIONS = T.StructType(
         T.StructField("committed_at", T.TimestampType()),
     ]
 )
+# What a mutation taken over from another log may bring along: the id and path it was logged under.
+LOGGED = T.StructType(
+    [T.StructField("log_id", T.StringType()), T.StructField("logged_path", T.StringType())]
+)

@@ -4,36 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldledger.schemas import MUTATIONS
-from fieldledger.session import new_scratch
 from fieldledger.sources.ledger import Ledger
-from fieldledger.sources.staging import stage_in
-
-# Rows of one task, as `monotonically_increasing_id` numbers them.
-_TASK_BITS = 33
-
-
-def gapless(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Numbers the rows from 0 in the given order, as `seq`, without a gap.
-
-    Rows are dealt by ranges of the order and written once; a row's number is its place within its
-    task plus the rows of the tasks in front, of which there is one sum per task.
-    """
-    others = [name for name in rows.columns if name != "seq"]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*others)
-    stage = stage_in(new_scratch(rows.sparkSession, "intake"))
-    placed = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "rows")
-    placed = placed.withColumn("_task", F.shiftright("_at", _TASK_BITS))
-    sizes = placed.groupBy("_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
-    ahead = F.sum("_rows").over(Window.partitionBy(F.lit(0)).orderBy("_task")) - F.col("_rows")
-    tasks = F.broadcast(sizes.select("_task", "_first", ahead.alias("_ahead")))
-    seq = F.col("_ahead") + F.col("_at") - F.col("_first")
-    return placed.join(tasks, "_task").select(seq.alias("seq"), *others)
-
+from fieldledger.sources.staging import gapless
 
 def read_mutations(spark: SparkSession, path: str, *, files_per_trigger: int = 1000) -> DataFrame:
     """Mutations in new Parquet files as they appear; `seq` orders those that come together."""
