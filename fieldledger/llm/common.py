@@ -30,6 +30,16 @@ def staged(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more, as all that came of them is written."""
+    for rows in tables:
+        context = rows.sparkSession.sparkContext
+        folders = {file.rpartition("/")[0] for file in rows.inputFiles()}
+        for folder in folders:
+            path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI.create(folder))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(rows: DataFrame, name: str) -> str:
     """The name, lengthened until no column of the rows has it."""
     while name.lower() in (column.lower() for column in rows.columns):
