@@ -9,6 +9,7 @@ time their file was written: the n-th Add or Edit of a form in a generation wrot
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,7 @@ from fieldledger.session import new_scratch
 from fieldledger.sources import record_files, record_store
 from fieldledger.sources.ledger import Ledger
 from fieldledger.sources.staging import gapless, stage_in
+from fieldledger.sources.store_source import exporting
 
 _NAMED = ("Template", "Schedule", "Bytes")
 # The member of a document that is its key.
@@ -134,12 +136,20 @@ def _with_followers(versions: DataFrame, keys: list[str]) -> DataFrame:
 def export_history(ledger: Ledger, root: str) -> dict[str, dict[str, int]]:
     """Writes every version and the log of a ledger as a store; returns the totals of each kind.
 
-    Files get the time of their commit where the file system can set it, as local disks can.
+    The files become readable when all of them are written, and the log behind them. Files get the
+    time of their commit where the file system can set it, as local disks can.
     """
     spark = ledger.spark
     kept = ledger.at(ledger.view())
     log = stage_in(new_scratch(spark, "export"))(kept.change_log(), "log")
-    totals = {}
+    with exporting(spark, root) as export:
+        totals = {kind: export.add(files) for kind, files in _version_files(kept, log)}
+    record_files.write_log(log, f"{root}/log")
+    return totals
+
+
+def _version_files(kept: Ledger, log: DataFrame) -> Iterator[tuple[str, DataFrame]]:
+    """By kind, the files of all versions."""
     paths = log.select("seq", "new_path")
     for kind in _NAMED:
         # The entry that replaced a version tells the name it was archived under.
@@ -147,16 +157,14 @@ def export_history(ledger: Ledger, root: str) -> dict[str, dict[str, int]]:
         replaced = paths.select(F.col("seq").alias("superseded_by"), F.col("new_path").alias("name"))
         rows = versions.join(replaced, "superseded_by", "left")
         version = F.coalesce(F.split("name", r"\.")[1], F.lit(LIVE))
-        totals[kind] = _written(_archived(rows, version), kind, root)
+        yield kind, _laid(_archived(rows, version), kind)
     generations = kept.generations()
     renamed = paths.select(F.col("seq").alias("seq_to"), F.split("new_path", r"\.")[1].alias("version_id"))
     generations = generations.drop("version_id").join(renamed, "seq_to", "left")
     forms = _with_followers(kept.versions("Form"), list(FORM_KEYS))
     forms = with_template_version(forms, generations)
     rows = _archived(forms, F.col("version_id"), F.col("template_version"))
-    totals["Form"] = _written(rows, "Form", root)
-    record_files.write_log(log, f"{root}/log")
-    return totals
+    yield "Form", _laid(rows, "Form")
 
 
 _RECORDS = {"Template": "template_record", "Schedule": "schedule", "Form": "form"}
@@ -168,7 +176,7 @@ _LAYOUTS = {
 }
 
 
-def _written(rows: DataFrame, kind: str, root: str) -> dict[str, int]:
+def _laid(rows: DataFrame, kind: str) -> DataFrame:
     record = _RECORDS.get(kind)
     if record:
         # A template or schedule keeps the name in its document, a form gets its id.
@@ -180,4 +188,4 @@ def _written(rows: DataFrame, kind: str, root: str) -> dict[str, int]:
     else:
         rows = rows.select("key", "payload", F.col("path").alias("_path"), F.col("committed_at").alias("written"))
     laid = _LAYOUTS[kind](rows, "_path", "written")
-    return record_files.write_files(laid.drop("path").withColumnRenamed("_path", "path"), root)
+    return laid.drop("path").withColumnRenamed("_path", "path")
