@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,17 +50,22 @@ def write_files(
     order: Sequence[str],
     *,
     level: int = 0,
+    together: Sequence[str] = (),
+    options: Mapping[str, object] | None = None,
 ) -> list[DataFile]:
     """Writes the rows of an attempt, a folder per group, and tells its files.
 
     Rows of a group are brought together, and large groups shared among tasks, before they are
     written, so that small batches make one file for each group they touch. Files are in `order`, so
-    a filter on its first column reads few row groups.
+    a filter on its first column reads few row groups. `together` tells the rows of a large group
+    that should share a file. Columns that begin with `_` count for the order and are not written.
     """
     folder = f"{root}/{table}/attempt={attempt}"
-    together = rows.hint("rebalance", *groups).sortWithinPartitions(*groups, *order)
-    together.write.partitionBy(*groups).option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
-    return files_in(rows.sparkSession, root, table, folder, rows.schema, groups, level)
+    ordered = rows.hint("rebalance", *groups, *together).sortWithinPartitions(*groups, *order)
+    ordered = ordered.drop(*[c for c in rows.columns if c.startswith("_")])
+    writer = ordered.write.partitionBy(*groups).option("maxRecordsPerFile", FILE_ROWS)
+    writer.options(**(options or {})).parquet(folder)
+    return files_in(rows.sparkSession, root, table, folder, ordered.schema, groups, level)
 
 
 def files_in(
